@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.llm import near_dup
+from merloom.llm import format_dup, leaders, near_dup, terms, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,5 +16,67 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_dup.format_copies(spark.read.parquet(f"{d}/sequences.parquet")).select(F.col("keep").alias("keep_ord"), F.col("copy").alias("copy_ord"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = format_dup.canonical(spark.read.parquet(f"{d}/sequences.parquet"))
+    return format_dup.format_groups(rows).select(F.col("keep").alias("keep_ord"), "copies")
+
+
+def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'subset'")
+    return varied.varied_subsets(spark.read.parquet(f"{d}/sequences.parquet"), wanted).withColumnRenamed("id", "ord")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.term_counts(spark.read.parquet(f"{d}/sequences.parquet")).where("mark is not null").select("mer", "mark")
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return terms.term_counts(spark.read.parquet(f"{d}/sequences.parquet"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaders.heavy_values(spark.read.parquet(f"{d}/mer_tally.parquet"), share=0.002).select(F.col("value").alias("mer"))
+
+
+def p7_top(spark: SparkSession, d: str) -> DataFrame:
+    return leaders.heavy_values(spark.read.parquet(f"{d}/mer_tally.parquet"), k=100).select(F.col("value").alias("mer"), "total")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p3_subsets": p3_subsets,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
+    "p7_found": p7_found,
+    "p7_top": p7_top,
+}
+
+_RES = "regexp_replace(upper(seq), '[^A-Z]', '', 'g')"
+_FORMS = f"""
+WITH c AS (SELECT ord, list_sort(list_filter(list_transform(regexp_split_to_array(upper(seq), '[|;/]'), lambda x: regexp_replace(x, '[^A-Z]', '', 'g')), lambda x: x <> '')) AS chains
+  FROM sequences WHERE length({_RES}) >= 20),
+g AS (SELECT chains, min(ord) AS keep_ord, count(*) AS copies FROM c GROUP BY chains)
+"""
+_TERMS = f"""
+WITH r AS (SELECT ord, {_RES} AS s FROM sequences),
+w AS (SELECT ord, unnest(list_transform(range(1, length(s) - 2), lambda i: substring(s, i, 4))) AS mer FROM r WHERE length(s) >= 4),
+m AS (SELECT mer, ord, count(*) AS n FROM w GROUP BY mer, ord),
+t AS (SELECT mer, CAST(sum(n) AS BIGINT) AS count, count(*) AS records FROM m GROUP BY mer),
+k AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records >= 0.05 * (SELECT count(*) FROM r WHERE length(s) >= 4) THEN 'common' END AS mark FROM t)
+"""
+_TALLY = "WITH t AS (SELECT upper(mer) AS mer, CAST(sum(cnt) AS BIGINT) AS total FROM mer_tally WHERE mer IS NOT NULL AND cnt IS NOT NULL GROUP BY 1) "
+
+SQL: dict[str, str] = {
+    "p2_found": _FORMS + "SELECT keep_ord, ord AS copy_ord FROM c JOIN g USING (chains) WHERE ord <> keep_ord",
+    "p2_groups": _FORMS + "SELECT keep_ord, copies FROM g",
+    "p4_found": _TERMS + "SELECT mer, mark FROM k WHERE mark IS NOT NULL",
+    "p4_counts": _TERMS + "SELECT mer, count, records, mark FROM k",
+    "p7_found": _TALLY + "SELECT mer FROM t WHERE total >= 0.002 * (SELECT sum(total) FROM t)",
+    "p7_top": _TALLY + "SELECT mer, total FROM t ORDER BY total DESC, mer LIMIT 100",
+}
