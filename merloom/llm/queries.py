@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.llm import format_dup, leaders, near_dup, terms, varied
+from merloom.llm import format_dup, leaders, near_dup, spans, terms, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_counts(spark.read.parquet(f"{d}/sequences.parquet"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(spark.read.parquet(f"{d}/sequences.parquet")).withColumnRenamed("id", "ord")
+
+
+def p5_parts(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(spark.read.parquet(f"{d}/sequences.parquet")).withColumnRenamed("id", "ord").withColumn("share", F.round("share", 6))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaders.heavy_values(spark.read.parquet(f"{d}/mer_tally.parquet"), share=0.002).select(F.col("value").alias("mer"))
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_subsets": p3_subsets,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_parts": p5_parts,
     "p7_found": p7_found,
     "p7_top": p7_top,
 }
@@ -70,6 +80,14 @@ m AS (SELECT mer, ord, count(*) AS n FROM w GROUP BY mer, ord),
 t AS (SELECT mer, CAST(sum(n) AS BIGINT) AS count, count(*) AS records FROM m GROUP BY mer),
 k AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records >= 0.05 * (SELECT count(*) FROM r WHERE length(s) >= 4) THEN 'common' END AS mark FROM t)
 """
+_SPANS = f"""
+WITH r AS (SELECT ord, {_RES} AS s FROM sequences),
+w AS (SELECT ord, unnest(range(1, length(s) - 23)) AS i, unnest(list_transform(range(1, length(s) - 23), lambda i: substring(s, i, 25))) AS win FROM r WHERE length(s) >= 25),
+k AS (SELECT win FROM w GROUP BY win HAVING min(ord) <> max(ord)),
+h AS (SELECT ord, i, lag(i) OVER (PARTITION BY ord ORDER BY i) AS p FROM w SEMI JOIN k USING (win)),
+g AS (SELECT ord, i, sum(CASE WHEN p IS NULL OR i > p + 25 THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY i) AS part FROM h),
+f AS (SELECT ord, min(i) AS span_start, max(i) + 25 - min(i) AS span_len FROM g GROUP BY ord, part)
+"""
 _TALLY = "WITH t AS (SELECT upper(mer) AS mer, CAST(sum(cnt) AS BIGINT) AS total FROM mer_tally WHERE mer IS NOT NULL AND cnt IS NOT NULL GROUP BY 1) "
 
 SQL: dict[str, str] = {
@@ -77,6 +95,8 @@ SQL: dict[str, str] = {
     "p2_groups": _FORMS + "SELECT keep_ord, copies FROM g",
     "p4_found": _TERMS + "SELECT mer, mark FROM k WHERE mark IS NOT NULL",
     "p4_counts": _TERMS + "SELECT mer, count, records, mark FROM k",
+    "p5_found": _SPANS + "SELECT ord, span_start, span_len FROM f",
+    "p5_parts": _SPANS + ", t AS (SELECT ord, CAST(sum(span_len) AS BIGINT) AS shared FROM f GROUP BY ord) SELECT ord, CAST(length(s) AS BIGINT) AS residues, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / length(s), 6) AS share FROM r LEFT JOIN t USING (ord) WHERE length(s) > 0",
     "p7_found": _TALLY + "SELECT mer FROM t WHERE total >= 0.002 * (SELECT sum(total) FROM t)",
     "p7_top": _TALLY + "SELECT mer, total FROM t ORDER BY total DESC, mer LIMIT 100",
 }
