@@ -1,6 +1,6 @@
 """Near-duplicate records found through a Gray-order hierarchical index.
 
-Every distinct text gets a fingerprint of 64 one-bit min-hashes and, for each of ``bands`` masks, the bit pattern of
+Every distinct text gets a fingerprint of 128 one-bit min-hashes and, for each of ``bands`` masks, the bit pattern of
 ``rows`` full min-hashes under that mask. A pattern shared under a mask is an upper node of the index. Below it the
 fingerprints stand in order of their Gray rank, in blocks whose shared bits are factored out; blocks and then
 fingerprints are compared by accumulated differences, and a whole block is pruned once these exceed the radius. What
@@ -20,7 +20,7 @@ from merloom.functions.residues import residues
 from merloom.llm.ragged import row_slices, rolling, spread, text_bytes
 from merloom.storage import written
 
-BITS, BLOCK = 64, 16
+BITS, BLOCK = 128, 16
 #: Fingerprints of one upper node that a task compares by itself; larger nodes are split over tasks.
 NODE_ROWS = 4096
 #: Pairs of fingerprints held at once.
@@ -57,7 +57,7 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    a, b = _multipliers(bands * rows)
+    a, b = _multipliers(max(BITS, bands * rows))
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
@@ -73,19 +73,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows:
             starts = (np.cumsum(counts) - counts)[at]
             codes = codes * np.uint64(0x9E3779B97F4A7C15)
             codes = _mixed((codes >> np.uint64(32)).astype(np.uint32))
-            pattern = np.empty((bands, len(at)), np.uint64)
-            bits = np.zeros(len(at), np.uint64)
-            for band in range(bands):
-                node = np.full(len(at), band + 1, np.uint64)
-                for k in range(band * rows, band * rows + rows):
-                    low = np.minimum.reduceat(codes * a[k] + b[k], starts)
-                    node = (node ^ low) * np.uint64(0xD6E8FEB86659FD93)
-                    node ^= node >> np.uint64(32)
-                    if k < BITS:
-                        bits |= ((_mixed(low) & np.uint32(1)).astype(np.uint64)) << np.uint64(k)
-                pattern[band] = node
-            rank = gray_rank(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern.ravel().view(np.int64)), pa.array(np.tile(rank, bands).view(np.int64)), pa.array(np.tile(ids[lo:hi][at], bands))], ["node", "rank", "id"])
+            pattern = np.full((bands, len(at)), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)[:, None]
+            bits = np.zeros((2, len(at)), np.uint64)
+            for k in range(len(a)):
+                low = np.minimum.reduceat(codes * a[k] + b[k], starts)
+                if k < BITS:
+                    bits[k // 64] |= (_mixed(low) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
+                if k < bands * rows:
+                    node = (pattern[k // rows] ^ low) * np.uint64(0xD6E8FEB86659FD93)
+                    pattern[k // rows] = node ^ (node >> np.uint64(32))
+            columns = [pattern.ravel(), np.tile(gray_rank(bits[0]), bands), np.tile(bits[1], bands)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.tile(ids[lo:hi][at], bands))], ["node", "rank", "tail", "id"])
 
 
 def _pairs_below(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +93,15 @@ def _pairs_below(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.repeat(left, ahead), spread(left + 1, ahead)
 
 
-def _search(bits: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+Words = tuple[np.ndarray, np.ndarray]
+
+
+def _fingerprints(rank: np.ndarray, tail: np.ndarray) -> Words:
+    rank = rank.view(np.uint64)
+    return rank ^ (rank >> np.uint64(1)), tail.view(np.uint64)
+
+
+def _search(bits: Words, first: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within `radius` in each run of fingerprints in Gray order: blocks by their shared bits first, then members by the rest."""
     blocks = -(-size // BLOCK)
     start = spread(np.zeros(len(first), np.int64), blocks) * BLOCK + np.repeat(first, blocks)
@@ -104,64 +110,64 @@ def _search(bits: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int)
         return
     at = spread(start, length)
     edge = np.cumsum(length) - length
-    ones, some = np.bitwise_and.reduceat(bits[at], edge), np.bitwise_or.reduceat(bits[at], edge)
-    shared = ~(ones ^ some)
+    ones = [np.bitwise_and.reduceat(w[at], edge) for w in bits]
+    shared = [~(x ^ np.bitwise_or.reduceat(w[at], edge)) for x, w in zip(ones, bits, strict=True)]
     run = np.cumsum(blocks) - blocks
     inner = length > 1
-    yield from _members(bits, *_pairs_below(start[inner], length[inner]), np.uint64(0), np.uint64(0), radius)
-    for lo in range(0, len(run), 256):
-        hi = min(lo + 256, len(run))
-        many = np.flatnonzero(blocks[lo:hi] > 1) + lo
-        i, j = _pairs_below(run[many], blocks[many])
-        both = shared[i] & shared[j]
-        differ = (ones[i] ^ ones[j]) & both
-        near = np.bitwise_count(differ) <= radius
-        i, j, both, differ = i[near], j[near], both[near], np.bitwise_count(differ[near])
-        for k in range(0, len(i), CHUNK // BLOCK**2):
-            p, q = i[k : k + CHUNK // BLOCK**2], j[k : k + CHUNK // BLOCK**2]
+    none = (np.uint64(0), np.uint64(0))
+    yield from _members(bits, *_pairs_below(start[inner], length[inner]), none, 0, radius)
+    step = CHUNK // BLOCK**2
+    many = np.flatnonzero(blocks > 1)
+    for part in np.split(many, np.flatnonzero(np.diff(np.cumsum(blocks[many] ** 2) // CHUNK)) + 1) if len(many) else []:
+        i, j = _pairs_below(run[part], blocks[part])
+        both = [w[i] & w[j] for w in shared]
+        differ = sum(np.bitwise_count((w[i] ^ w[j]) & m).astype(np.int64) for w, m in zip(ones, both, strict=True))
+        near = differ <= radius
+        i, j, both, differ = i[near], j[near], [m[near] for m in both], differ[near]
+        for k in range(0, len(i), step):
+            p, q = i[k : k + step], j[k : k + step]
             n = length[p] * length[q]
             place = spread(np.zeros(len(p), np.int64), n)
             wide = np.repeat(length[q], n)
             x, y = np.repeat(start[p], n) + place // wide, np.repeat(start[q], n) + place % wide
-            yield from _members(bits, x, y, np.repeat(both[k : k + len(p)], n), np.repeat(differ[k : k + len(p)], n), radius)
+            yield from _members(bits, x, y, tuple(np.repeat(m[k : k + step], n) for m in both), np.repeat(differ[k : k + step], n), radius)
 
 
-def _members(bits: np.ndarray, x: np.ndarray, y: np.ndarray, done: np.ndarray, before: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    near = before + np.bitwise_count((bits[x] ^ bits[y]) & ~done) <= radius
-    yield x[near], y[near]
+def _members(bits: Words, x: np.ndarray, y: np.ndarray, done: Words, before: np.ndarray | int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (x, y) within `radius`; the bits `done` are not looked at again, their differences are in `before`."""
+    apart = before + sum(np.bitwise_count((w[x] ^ w[y]) & ~m).astype(np.int64) for w, m in zip(bits, done, strict=True))
+    yield x[apart <= radius], y[apart <= radius]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], radius: int, node_rows: int) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (node, rank): pairs a < b of one node; rows of a node with more than node_rows come out as node, block, rank, id."""
-    names = ["a", "b", "node", "block", "rank"]
-    held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+    """From rows in order of (node, rank): pairs a < b of one node; rows of a node with more than node_rows come out as node, block, rank, tail, id."""
+    names = ["a", "b", "node", "block", "rank", "tail"]
+    held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
     streak = 0  # rows of the held node that went out as blocks
     before: tuple | None = None
 
-    def spill(node: np.ndarray, rank: np.ndarray, ids: np.ndarray, streak: int) -> pa.RecordBatch:
+    def spill(node: np.ndarray, rank: np.ndarray, tail: np.ndarray, ids: np.ndarray, streak: int) -> pa.RecordBatch:
         block = (np.arange(len(node), dtype=np.int64) + streak) // node_rows
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(node), pa.array(block), pa.array(rank)], names)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), *map(pa.array, (node, block, rank, tail))], names)
 
-    def done(node: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(node: np.ndarray, rank: np.ndarray, tail: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.diff(node)) + 1
         first, size = np.r_[0, cut], np.diff(np.r_[0, cut, len(node)])
         keep = (size > 1) & (size <= node_rows)
         first, size, large = first[keep], size[keep], np.flatnonzero(size > node_rows)
-        bits = rank.view(np.uint64)
-        bits = bits ^ (bits >> np.uint64(1))
-        for x, y in _search(bits, first.astype(np.int64), size, radius):
+        for x, y in _search(_fingerprints(rank, tail), first.astype(np.int64), size, radius):
             x, y = ids[x], ids[y]
             ok = x != y
             x, y = x[ok], y[ok]
             null = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), null, null, null], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), null, null, null, null], names)
         edges = np.r_[0, cut, len(node)]
         for k in large:
             at = slice(edges[k], edges[k + 1])
-            yield spill(node[at], rank[at], ids[at], 0)
+            yield spill(node[at], rank[at], tail[at], ids[at], 0)
 
     for batch in batches:
-        new = [batch.column(k).to_numpy() for k in range(3)]
+        new = [batch.column(k).to_numpy() for k in range(4)]
         if not len(new[0]):
             continue
         again = np.r_[before == tuple(x[0] for x in new), np.all([x[1:] == x[:-1] for x in new], axis=0)]
@@ -176,12 +182,12 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int, node_rows: int)
                 streak += same
             if same == len(new[0]):
                 continue
-            new, streak, held = [x[same:] for x in new], 0, [np.empty(0, np.int64)] * 3
-        node, rank, ids = (np.concatenate(x) for x in zip(held, new, strict=True))
+            new, streak, held = [x[same:] for x in new], 0, [np.empty(0, np.int64)] * 4
+        node, rank, tail, ids = (np.concatenate(x) for x in zip(held, new, strict=True))
         last = len(node) - int(np.argmax(node[::-1] != node[-1])) if node[0] != node[-1] else 0
         if last:
-            yield from done(node[:last], rank[:last], ids[:last])
-        held = [node[last:], rank[last:], ids[last:]]
+            yield from done(node[:last], rank[:last], tail[:last], ids[:last])
+        held = [node[last:], rank[last:], tail[last:], ids[last:]]
         if len(held[0]) > node_rows:
             yield spill(*held, 0)
             streak, held = len(held[0]), [x[:1] for x in held]
@@ -194,15 +200,15 @@ def _block_pairs(groups: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
     held: pa.Table | None = None
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        bits = t.column("rank").to_numpy().view(np.uint64)
-        bits, ids, side = bits ^ (bits >> np.uint64(1)), t.column("id").to_numpy(), t.column("side").to_numpy()
+        bits = _fingerprints(t.column("rank").to_numpy(), t.column("tail").to_numpy())
+        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
         cut = int(np.searchsorted(side, 1))
         left, right = np.arange(cut), np.arange(cut, len(ids))
         if t.column("other")[0].as_py() == t.column("own")[0].as_py():
             found = _search(bits, np.array([0]), np.array([len(ids)]), radius)
         else:
             step = max(1, CHUNK // max(1, len(right)))
-            found = (_ for k in range(0, cut, step) for _ in _members(bits, np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step])), np.uint64(0), np.uint64(0), radius))
+            found = (_ for k in range(0, cut, step) for _ in _members(bits, np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step])), (np.uint64(0), np.uint64(0)), 0, radius))
         for x, y in found:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
@@ -221,32 +227,37 @@ def _block_pairs(groups: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
 
 def candidate_pairs(texts: DataFrame, width: int, bands: int, rows: int, radius: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """Pairs a < b of texts (columns id bigint, text string; rows with one id are copies) that may be similar, each once."""
-    signed = texts.select("id", "text").mapInArrow(lambda it: _signatures(it, width, bands, rows), "node bigint, rank bigint, id bigint")
-    ordered = signed.repartition("node").sortWithinPartitions("node", "rank", "id")
-    out = "a bigint, b bigint, node bigint, block bigint, rank bigint"
+    signed = texts.select("id", "text").mapInArrow(lambda it: _signatures(it, width, bands, rows), "node bigint, rank bigint, tail bigint, id bigint")
+    ordered = signed.repartition("node").sortWithinPartitions("node", "rank", "tail", "id")
+    out = "a bigint, b bigint, node bigint, block bigint, rank bigint, tail bigint"
     found = written(ordered.mapInArrow(lambda it: _candidates(it, radius, node_rows), out), "nodes")
     pairs = found.where("node is null").select("a", "b")
-    large = found.where("node is not null").select("node", "block", "rank", F.col("a").alias("id"))
+    large = found.where("node is not null").select("node", "block", "rank", "tail", F.col("a").alias("id"))
     blocks = large.groupBy("node").agg((F.max("block") + 1).alias("blocks"))
     each = large.join(blocks, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    each = each.select("node", F.least("block", "part").alias("own"), F.greatest("block", "part").alias("other"), (F.col("block") > F.col("part")).cast("bigint").alias("side"), "rank", "id")
-    split = each.repartition("node", "own", "other").sortWithinPartitions("node", "own", "other", "side", "rank", "id").mapInArrow(lambda it: _block_pairs(it, radius), "a bigint, b bigint")
+    each = each.select("node", F.least("block", "part").alias("own"), F.greatest("block", "part").alias("other"), (F.col("block") > F.col("part")).cast("bigint").alias("side"), "rank", "tail", "id")
+    split = each.repartition("node", "own", "other").sortWithinPartitions("node", "own", "other", "side", "rank", "tail", "id").mapInArrow(lambda it: _block_pairs(it, radius), "a bigint, b bigint")
     return pairs.unionByName(split).distinct()
 
 
+def _sorted_set(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _checked(batches: Iterator[pa.RecordBatch], width: int, share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = []
         for column in (2, 3):
             codes, counts = window_codes(*text_bytes(batch.column(column)), width)
-            sides.append((codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16), np.repeat(np.arange(len(counts), dtype=np.uint64), counts)))
+            sides.append((codes if width <= 5 else codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16), np.repeat(np.arange(len(counts), dtype=np.uint64), counts)))
         for lo in range(0, batch.num_rows, 1 << 11):
             hi = min(lo + (1 << 11), batch.num_rows)
             own = []
             for codes, row in sides:
-                p, q = np.searchsorted(row, [lo, hi])
-                # 48 bits of a window's number; the number of a window of up to 5 residues is kept apart by them
-                own.append(np.unique(codes[p:q] | (row[p:q] - np.uint64(lo)) << np.uint64(48)))
+                p, q = np.searchsorted(row, np.array([lo, hi], np.uint64))
+                # windows of up to 5 residues have numbers below 2**48, longer ones 48 bits of a hash
+                own.append(_sorted_set(codes[p:q] | (row[p:q] - np.uint64(lo)) << np.uint64(48)))
             both = np.concatenate(own)
             both.sort(kind="stable")
             same = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
@@ -256,7 +267,7 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, share: float) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(common / np.maximum(union, 1))], ["a", "b", "similarity"]).filter(pa.array(ok))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", width: int = 5, share: float = 0.7, least: int = 20, bands: int = 14, rows: int = 4, radius: int = 18, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", width: int = 5, share: float = 0.7, least: int = 20, bands: int = 12, rows: int = 4, radius: int = 31, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Similar texts: links (class_a, class_b, similarity) between classes of equal residues, and the members (class, id) of every class.
 
     Two texts are similar if their sets of `width`-residue windows have a Jaccard similarity of at least `share`.
@@ -273,7 +284,7 @@ def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", wi
     a, b = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     links = both.mapInArrow(lambda it: _checked(it, width, share), "a bigint, b bigint, similarity double")
-    members = rows_in.select(F.xxhash64("text").alias("class"), "id").distinct()
+    members = rows_in.select(F.xxhash64("text").alias("class"), "id").repartition("class").distinct()
     return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity"), members
 
 
