@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.llm import format_dup, leaders, near_dup, spans, terms, varied
+from merloom.llm import format_dup, leaders, near_dup, spans, terms, tokens, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,10 @@ def p7_top(spark: SparkSession, d: str) -> DataFrame:
     return leaders.heavy_values(spark.read.parquet(f"{d}/mer_tally.parquet"), k=100).select(F.col("value").alias("mer"), "total")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_parts": p5_parts,
     "p7_found": p7_found,
     "p7_top": p7_top,
+    "p8_ids": p8_ids,
 }
 
 _RES = "regexp_replace(upper(seq), '[^A-Z]', '', 'g')"
