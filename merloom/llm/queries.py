@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.llm import format_dup, leaders, near_dup, spans, terms, tokens, varied
+from merloom.llm import format_dup, leaders, near_dup, packing, spans, terms, tokens, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'container'")
+    return packing.containers(spark.read.parquet(f"{d}/documents.parquet"), wanted).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_top": p7_top,
     "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
 }
 
 _RES = "regexp_replace(upper(seq), '[^A-Z]', '', 'g')"
