@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.llm import format_dup, leaders, near_dup, packing, spans, terms, tokens, varied
+from merloom.llm import format_dup, language, leaders, near_dup, packing, spans, terms, tokens, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(spark.read.parquet(f"{d}/documents.parquet"), wanted).withColumnRenamed("id", "doc_id")
 
 
+def _network(spark: SparkSession, d: str) -> tuple[DataFrame, language.Network]:
+    documents = spark.read.parquet(f"{d}/documents.parquet")
+    return documents, language.fitted(documents, spark.read.parquet(f"{d}/lang_samples.parquet"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_errors(*_network(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(*_network(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -76,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_top": p7_top,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_languages": p10_languages,
 }
 
 _RES = "regexp_replace(upper(seq), '[^A-Z]', '', 'g')"
