@@ -209,7 +209,7 @@ def fitted(documents: DataFrame, samples: DataFrame, id_col: str = "doc_id", tex
     number = F.array_position(F.array(*map(F.lit, LANGUAGES)), normalised(F.col(lang_col))).cast("int") - 1
     known = documents.select(number.alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("mix")).where("label >= 0 and text is not null")
     # about twice as many as wanted pass the bound on the hash, so that few rows are sorted at any size
-    bound = -(1 << 63) + int(min(1.0, 2 * most / max(documents.count(), 1)) * ((1 << 64) - 1))
+    bound = min(-(1 << 63) + int(min(1.0, 2 * most / max(documents.count(), 1)) * (1 << 64)), (1 << 63) - 1)
     known = known.where(F.col("mix") <= F.lit(bound)).orderBy("mix").limit(most).select("label", "text")
     clean = samples.select(number.alias("label"), F.col(text_col).alias("text")).where("label >= 0 and text is not null").limit(10_000)
     schema = "label int, window binary"
