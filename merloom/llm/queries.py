@@ -25,6 +25,10 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return format_dup.format_groups(rows).select(F.col("keep").alias("keep_ord"), "copies")
 
 
+def p3_order(spark: SparkSession, d: str) -> DataFrame:
+    return varied.varied_order(spark.read.parquet(f"{d}/sequences.parquet")).withColumnRenamed("id", "ord")
+
+
 def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'subset'")
     return varied.varied_subsets(spark.read.parquet(f"{d}/sequences.parquet"), wanted).withColumnRenamed("id", "ord")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_order": p3_order,
     "p3_subsets": p3_subsets,
     "p4_found": p4_found,
     "p4_counts": p4_counts,

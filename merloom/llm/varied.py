@@ -40,6 +40,29 @@ def grid(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: st
     return one.select("r.id", "r.clade", cell.alias("cell"), F.xxhash64("key").alias("mix"))
 
 
+def numbered_cells(points: DataFrame) -> DataFrame:
+    """cell, size, cell_no: cells in turn over the clades, the largest cell of each first. The grid bounds the number of cells, so these windows are small."""
+    sizes = points.groupBy("cell").agg(F.count("*").alias("size"))
+    turn = F.row_number().over(Window.partitionBy("cell.b0").orderBy(F.desc("size"), F.xxhash64("cell"), "cell"))
+    return sizes.withColumn("turn", turn).withColumn("cell_no", F.row_number().over(Window.orderBy("turn", F.xxhash64("cell.b0"), "cell.b0"))).drop("turn")
+
+
+def varied_order(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", least: int = 20) -> DataFrame:
+    """id, clade, cell_no, rank_in_cell of every distinct record: a varied subset of any size k is the first k by rank_in_cell, then cell_no.
+
+    Ranks come from range partitions by cell and hash: the rank within the partition, and the sizes of the parts of the
+    cell before it. A cell that holds a third of all records is spread over many tasks.
+    """
+    points = grid(df, id_col, name_col, seq_col, least).repartitionByRange("cell", "mix", "id").withColumn("part", F.spark_partition_id())
+    points = written(points, "ranges")
+    cells = numbered_cells(points)
+    sizes = points.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("cell", "part", (F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")).alias("before"))
+    local = F.row_number().over(Window.partitionBy("cell", "part").orderBy("mix", "id"))
+    ranked = points.withColumn("local", local).join(F.broadcast(before), ["cell", "part"]).join(F.broadcast(cells), "cell")
+    return ranked.select("id", "clade", "cell_no", (F.col("before") + F.col("local")).alias("rank_in_cell"))
+
+
 def varied_subsets(df: DataFrame, requests: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", request_col: str = "request_id", amount_col: str = "amount", least: int = 20) -> DataFrame:
     """request_id, rank_in_cell, cell_no, id, clade: for each request that many records.
 
@@ -50,10 +73,7 @@ def varied_subsets(df: DataFrame, requests: DataFrame, id_col: str = "ord", name
     fewer than `least` residues are never chosen.
     """
     points = written(grid(df, id_col, name_col, seq_col, least), "grid")
-    sizes = points.groupBy("cell").agg(F.count("*").alias("size"))
-    # the number of cells is bounded by the grid, so these windows over cells are small
-    turn = F.row_number().over(Window.partitionBy("cell.b0").orderBy(F.desc("size"), F.xxhash64("cell"), "cell"))
-    cells = written(sizes.withColumn("turn", turn).withColumn("cell_no", F.row_number().over(Window.orderBy("turn", F.xxhash64("cell.b0"), "cell.b0"))).drop("turn"), "cells")
+    cells = written(numbered_cells(points), "cells")
     by_size = Window.orderBy("size", "cell_no")
     steps = cells.select("size", (F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(by_size) + 1).alias("open"), (F.sum("size").over(by_size) - F.col("size")).alias("closed"))
     wanted = requests.select(F.col(request_col).alias("request_id"), F.col(amount_col).cast("bigint").alias("amount")).where("amount >= 1").distinct()
