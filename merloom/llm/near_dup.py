@@ -267,7 +267,7 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, share: float) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(common / np.maximum(union, 1))], ["a", "b", "similarity"]).filter(pa.array(ok))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", width: int = 5, share: float = 0.7, least: int = 20, bands: int = 12, rows: int = 4, radius: int = 31, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", width: int = 5, share: float = 0.7, least: int = 20, bands: int = 16, rows: int = 4, radius: int = 31, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Similar texts: links (class_a, class_b, similarity) between classes of equal residues, and the members (class, id) of every class.
 
     Two texts are similar if their sets of `width`-residue windows have a Jaccard similarity of at least `share`.
