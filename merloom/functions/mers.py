@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merloom.functions.once import once
+
 CHUNK = 256
 GAP, BAD = "-", "x"
 
@@ -88,5 +90,6 @@ def repeated_mers(seq: Column, e: int) -> Column:
 
 def exploded(df: DataFrame, seq: str, e: int, keep: list[str], distinct: bool = True, rmdash: bool = True, rmx: bool = True) -> DataFrame:
     """One row for each mer of each row, with the columns `keep`; with `distinct` each mer once a row, without a shuffle."""
+    df = once(df.select(*dict.fromkeys([*keep, seq])), seq)
     array = mer_set(F.col(seq), e, rmdash, rmx) if distinct else mers(F.col(seq), e, rmdash, rmx)
     return df.select(*keep, F.explode(array).alias("mer"))

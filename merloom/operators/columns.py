@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merloom.functions.once import once
+
 
 def characters(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """ord, pos, ch, w: one row for each character. An empty text has none."""
@@ -48,7 +50,7 @@ def _kept(df: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows with only the places in `keep` (their number is the length of an alignment, not of the data)."""
     places = sorted(r["pos"] for r in keep.distinct().collect())
     chosen = F.filter(F.array(*map(F.lit, places)).cast("array<int>"), lambda p: p < F.length("seq"))
-    return df.withColumn("seq", F.array_join(F.transform(chosen, lambda p: F.substring("seq", p + 1, F.lit(1))), ""))
+    return once(df, "seq").withColumn("seq", F.array_join(F.transform(chosen, lambda p: F.substring("seq", p + 1, F.lit(1))), ""))
 
 
 def without_gap_columns(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merloom.functions.mers import exploded, mer_set
+from merloom.functions.once import once
 from merloom.operators.offby import near_mers
 from merloom.operators.tally import mer_tally, place_tally, weighted
 
@@ -56,7 +57,7 @@ def macro_curve(population: DataFrame, antigens: DataFrame, e: int, weights: Dat
     first covers one of its mers, not one for each k.
     """
     rows = weighted(population, weights, strict) if weights is not None else population.withColumn("weight", F.lit(1.0))
-    sets = rows.select("ord", "weight", mer_set(F.col("seq"), e).alias("m"))
+    sets = once(once(rows.select("ord", "weight", "seq"), "seq").select("ord", "weight", mer_set(F.col("seq"), e).alias("m")), "m")
     if on_empty == "error":
         sets = sets.where(F.when(F.size("m") == 0, F.raise_error("a sequence without a mer").cast("boolean")).otherwise(True))
     sets = sets.where(F.size("m") > 0).withColumn("weight", F.coalesce("weight", F.lit(0.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merloom.functions.mers import mers, repeated_mers
+from merloom.functions.once import once
 from merloom.storage import written
 
 #: Characters that mean a bad residue, and the one that means a stop.
@@ -65,8 +66,10 @@ def repeats(seq: Column, e: int) -> Column:
 
 def few_repeats(df: DataFrame, e: int, tmr: int, boundary: str = "lt") -> DataFrame:
     """Rows with fewer than tmr repeated mers (`lt`), or at most tmr (`le`); tmr = 0 keeps all."""
-    n = repeats(F.col("seq"), e)
-    return df if not tmr else df.where(n < tmr if boundary == "lt" else n <= tmr)
+    if not tmr:
+        return df
+    counted = once(once(df, "seq").withColumn("_n", repeats(F.col("seq"), e)), "_n")
+    return counted.where(F.col("_n") < tmr if boundary == "lt" else F.col("_n") <= tmr).drop("_n")
 
 
 def too_many_repeats(seq: Column, e: int, tmr: int) -> Column:
@@ -75,7 +78,7 @@ def too_many_repeats(seq: Column, e: int, tmr: int) -> Column:
 
 def with_mers(df: DataFrame, e: int) -> DataFrame:
     """Rows with at least one valid mer."""
-    return df.where(F.size(mers(F.col("seq"), e)) > 0)
+    return once(df, "seq").where(F.size(mers(F.col("seq"), e)) > 0)
 
 
 def truncated(seq: Column, lo: int, hi: int) -> Column:

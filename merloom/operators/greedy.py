@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merloom.functions.mers import tiled_mers
+from merloom.functions.once import once
 from merloom.operators.tally import mer_tally
 from merloom.storage import written
 
 
 def long_mers(df: DataFrame, k: int, stride: int = 1) -> DataFrame:
     """kmer: the distinct mers of all rows."""
-    return df.select(F.explode(tiled_mers(F.col("seq"), k, stride)).alias("kmer")).where(F.length("kmer") == k).distinct()
+    return once(df.select("seq"), "seq").select(F.explode(tiled_mers(F.col("seq"), k, stride)).alias("kmer")).where(F.length("kmer") == k).distinct()
 
 
 def tiles(df: DataFrame, k: int, e: int) -> DataFrame:
     """kmer: mers of the rows at the stride that misses no short mer."""
-    return df.select(F.explode(tiled_mers(F.col("seq"), k, k - e + 1)).alias("kmer")).distinct()
+    return once(df.select("seq"), "seq").select(F.explode(tiled_mers(F.col("seq"), k, k - e + 1)).alias("kmer")).distinct()
 
 
 def membership(pool: DataFrame, e: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merloom.operators.graph import BEGIN, END
+from merloom.operators.graph import BEGIN, CUT, END
 from merloom.storage import written
 
 
@@ -32,8 +32,9 @@ def best_values(nodes: DataFrame, edges: DataFrame, widest: bool = False) -> Dat
         better = written(better.select("mer", F.col("new").alias("value"), F.col("p").alias("pre"), (F.col("old").isNull() | (F.col("new") > F.col("old"))).alias("up")), "better")
         if better.isEmpty():
             return values
-        values = written(values.join(better, "mer", "left_anti").unionByName(better.drop("up")), "values")
-        changed = written(better.where("up").select("mer", "value"), "changed")
+        values = values.join(better.select("mer"), "mer", "left_anti").unionByName(better.drop("up"))
+        values = written(values, "values") if rounds % CUT == 0 else values
+        changed = better.where("up").select("mer", "value")
 
 
 def best_path(nodes: DataFrame, edges: DataFrame) -> tuple[float, list[str]]:

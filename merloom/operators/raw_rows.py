@@ -5,37 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merloom.functions.once import once
+
 ORD, SEQ, WEIGHT = r"^[0-9]{1,18}\z", r"^[A-Za-z*-]+\z", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def _outside_ok(pieces: Column) -> Column:
     """Whether the text between quoted pieces is a delimiter, a doubled quote, or the line's edge, everywhere."""
-    last = F.size(pieces) - 1
-    comma = F.lit(",")
-    bad = F.filter(
-        F.transform(pieces, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda p: (p["i"] % 2 == 0)
-        & (
-            ((p["i"] == 0) & (p["x"] != "") & ~F.endswith(p["x"], comma))
-            | ((p["i"] == last) & (p["x"] != "") & ~F.startswith(p["x"], comma))
-            | ((p["i"] > 0) & (p["i"] < last) & (p["x"] != "") & ~(F.startswith(p["x"], comma) & F.endswith(p["x"], comma)))
-        ),
-    )
-    return (last == 0) | ((last % 2 == 0) & (F.size(bad) == 0))
+    quotes, comma = F.size(pieces) - 1, F.lit(",")
+    first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    middle = F.slice(pieces, 2, F.greatest(quotes - 1, F.lit(0)))
+    bad = F.filter(middle, lambda x, i: (i % 2 == 1) & (x != "") & ~(F.startswith(x, comma) & F.endswith(x, comma)))
+    edges = ((first == "") | F.endswith(first, comma)) & ((last == "") | F.startswith(last, comma))
+    return (quotes == 0) | ((quotes % 2 == 0) & edges & (F.size(bad) == 0))
+
+
+def _escaped(x: Column) -> Column:
+    return F.replace(x, F.lit("\\"), F.lit("\\b"))
 
 
 def _fields(pieces: Column) -> Column:
     """The fields of a well-quoted line. Commas inside quotes are written in an escape while the line is split at the others."""
-    last = F.size(pieces) - 1
-    back, comma = F.lit("\\"), F.lit(",")
-    kept = F.transform(
-        pieces,
-        lambda x, i: F.when((i % 2 == 0) & (i > 0) & (i < last) & (x == ""), F.lit('"')).otherwise(
-            F.when(i % 2 == 1, F.replace(F.replace(x, back, F.lit("\\b")), comma, F.lit("\\c"))).otherwise(F.replace(x, back, F.lit("\\b")))
-        ),
-    )
-    split = F.split(F.array_join(kept, ""), ",", -1)
-    return F.transform(split, lambda x: F.replace(F.replace(x, F.lit("\\c"), comma), F.lit("\\b"), back))
+    quotes = F.size(pieces) - 1
+    middle = F.slice(pieces, 2, F.greatest(quotes - 1, F.lit(0)))
+    kept = F.transform(middle, lambda x, i: F.when(i % 2 == 0, F.replace(_escaped(x), F.lit(","), F.lit("\\c"))).when(x == "", F.lit('"')).otherwise(_escaped(x)))
+    ends = [F.array(_escaped(F.get(pieces, F.lit(0)))), F.when(quotes > 0, F.array(_escaped(F.element_at(pieces, -1)))).otherwise(F.array().cast("array<string>"))]
+    split = F.split(F.array_join(F.concat(ends[0], kept, ends[1]), ""), ",", -1)
+    return F.transform(split, lambda x: F.replace(F.replace(x, F.lit("\\c"), F.lit(",")), F.lit("\\b"), F.lit("\\")))
 
 
 def parsed_rows(df: DataFrame, id_col: str = "raw_id", line_col: str = "line") -> DataFrame:
@@ -47,9 +43,11 @@ def parsed_rows(df: DataFrame, id_col: str = "raw_id", line_col: str = "line") -
     """
     line = F.coalesce(F.col(line_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("raw_id"), F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line).alias("line"))
-    rows = rows.where(~F.startswith(F.col("line"), F.lit("#"))).withColumn("pieces", F.split("line", '"', -1))
+    rows = rows.where(~F.startswith(F.col("line"), F.lit("#"))).select("raw_id", F.split("line", '"', -1).alias("pieces"))
+    rows = once(rows, "pieces")
     quoted = _outside_ok(F.col("pieces"))
     rows = rows.select("raw_id", quoted.alias("quoted"), F.when(quoted, _fields(F.col("pieces"))).alias("fields"))
+    rows = once(rows, "fields")
     field = [F.trim(F.get(F.col("fields"), F.lit(k))) for k in range(4)]
     weight = field[3].try_cast("double")
     four = F.size("fields") == 4

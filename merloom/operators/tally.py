@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merloom.functions.mers import BAD, GAP, exploded, gapped_mers, mers, residue_places
+from merloom.functions.once import once
 
 
 def mer_tally(df: DataFrame, e: int, rmx: bool = True, rmdash: bool = True) -> DataFrame:
@@ -45,14 +46,13 @@ def without_bad(counts: DataFrame) -> DataFrame:
 
 def end_mers(df: DataFrame, e: int) -> DataFrame:
     """mer, is_first, is_last: the mers that begin or end a row."""
-    m = mers(F.col("seq"), e)
-    ends = df.select(m.alias("m")).where(F.size("m") > 0).select(F.explode(F.array(F.struct(F.element_at("m", 1).alias("mer"), F.lit(True).alias("a")), F.struct(F.element_at("m", -1).alias("mer"), F.lit(False).alias("a")))).alias("x"))
+    ends = once(once(df.select("seq"), "seq").select(mers(F.col("seq"), e).alias("m")), "m").where(F.size("m") > 0).select(F.explode(F.array(F.struct(F.element_at("m", 1).alias("mer"), F.lit(True).alias("a")), F.struct(F.element_at("m", -1).alias("mer"), F.lit(False).alias("a")))).alias("x"))
     return ends.groupBy("x.mer").agg(F.bool_or("x.a").alias("is_first"), F.bool_or(~F.col("x.a")).alias("is_last"))
 
 
 def place_tally(df: DataFrame, e: int, weight: Column | None = None) -> DataFrame:
     """pos, mer, cnt: the weight of the rows whose window of e residues begins at a column; mers with the bad character are left out."""
-    rows = df.select((weight if weight is not None else F.lit(1.0)).alias("w"), F.explode(gapped_mers(F.col("seq"), e)).alias("g"))
+    rows = once(df.select((weight if weight is not None else F.lit(1.0)).alias("w"), "seq"), "seq").select("w", F.explode(gapped_mers(F.col("seq"), e)).alias("g"))
     return rows.where(~F.contains("g.mer", F.lit(BAD))).groupBy(F.col("g.pos").alias("pos"), F.col("g.mer").alias("mer")).agg(F.sum("w").alias("cnt"))
 
 
@@ -71,7 +71,7 @@ def site_tally(df: DataFrame, e: int) -> DataFrame:
 
 def mer_places(df: DataFrame, e: int) -> DataFrame:
     """mer, positions: the sorted columns at which a mer begins in any row. A mer has at most as many as there are columns."""
-    rows = df.select(F.explode(gapped_mers(F.col("seq"), e)).alias("g"))
+    rows = once(df.select("seq"), "seq").select(F.explode(gapped_mers(F.col("seq"), e)).alias("g"))
     return rows.groupBy(F.col("g.mer").alias("mer")).agg(F.sort_array(F.collect_set("g.pos")).alias("positions"))
 
 
@@ -82,7 +82,7 @@ def places_of_mers(places: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def gapped_places(df: DataFrame, e: int) -> DataFrame:
     """ord, gapped, pos: each window of e residues with its gaps; the last place if it occurs more than once in a row; the bad character is left out."""
-    rows = df.select("ord", F.explode(gapped_mers(F.col("seq"), e)).alias("g")).where(~F.contains("g.gapped", F.lit(BAD)))
+    rows = once(df.select("ord", "seq"), "seq").select("ord", F.explode(gapped_mers(F.col("seq"), e)).alias("g")).where(~F.contains("g.gapped", F.lit(BAD)))
     return rows.groupBy("ord", F.col("g.gapped").alias("gapped")).agg(F.max("g.pos").alias("pos"))
 
 
@@ -95,4 +95,4 @@ def length_stats(df: DataFrame) -> DataFrame:
 
 def residue_map(df: DataFrame) -> DataFrame:
     """ord, places: the columns of each row's residues."""
-    return df.select("ord", residue_places(F.col("seq")).alias("places"))
+    return once(df.select("ord", "seq"), "seq").select("ord", residue_places(F.col("seq")).alias("places"))

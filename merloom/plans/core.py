@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.functions import mers as M
+from merloom.functions.once import once
 from merloom.functions.residues import residues
 from merloom.operators import columns, coverage, decycle, filters, graph, greedy, offby, paths, raw_rows, tally
+from merloom.plans.design import Design, design
 from merloom.sources import readers, writers
 from merloom.storage import shared_dir, written
+from merloom.streaming.tally import windowed_tally
 
 #: Lengths of short and long mers.
 E, K = 9, 15
@@ -104,7 +107,7 @@ def design_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicated_mers(spark: SparkSession, d: str) -> DataFrame:
-    return _population(spark, d).select("ord", F.explode(M.repeated_mers(F.col("seq"), 4)).alias("mer"))
+    return once(_population(spark, d), "seq").select("ord", F.explode(M.repeated_mers(F.col("seq"), 4)).alias("mer"))
 
 
 def tiled_kmers(spark: SparkSession, d: str) -> DataFrame:
@@ -271,6 +274,10 @@ def complementary_paths(spark: SparkSession, d: str) -> DataFrame:
     return paths.paths_to_text(paths.complementary_paths(nodes, edges, 3))
 
 
+def design_antigens(spark: SparkSession, d: str) -> DataFrame:
+    return design(_part(spark, d), Design(e=4, m=2)).withColumn("share", F.round("share", 9))
+
+
 def cyclic_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _population(spark, d)
     counts = tally.mer_tally(rows, 3)
@@ -346,6 +353,11 @@ def random_draws(spark: SparkSession, d: str) -> DataFrame:
     return filters.drawn(rows, rows.count(), 7).select("draw", "ord")
 
 
+def loaded_mers(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "sequences").select("loaded_at", residues(F.col("seq")).alias("seq"))
+    return windowed_tally(rows, E, "loaded_at", "1 day")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return raw_rows.failed_rows(_t(spark, d, "raw_rows")).select("raw_id", "reason")
 
@@ -357,6 +369,7 @@ def p6_valid(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_valid": p6_valid,
+    "loaded_mers": loaded_mers,
     "mer_tally": mer_tally,
     "mer_tally_weighted": mer_tally_weighted,
     "mer_total_bad": mer_total_bad,
@@ -406,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_path_score": best_path_score,
     "path_bandwidth": path_bandwidth,
     "complementary_paths": complementary_paths,
+    "design_antigens": design_antigens,
     "decycle_removed": decycle_removed,
     "kmer_scores": kmer_scores,
     "pool_quarter": pool_quarter,
@@ -503,6 +517,7 @@ near AS (SELECT DISTINCT b2.mer AS mer, b1.mer AS near_mer, hamming(b1.mer, b2.m
 
 
 SQL: dict[str, str] = {
+    "loaded_mers": f"WITH p AS (SELECT ord, date_trunc('day', loaded_at) AS start, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS seq FROM sequences WHERE loaded_at IS NOT NULL), {_sets('p', 9, 'start, ord')} SELECT CAST(start AS TIMESTAMP) AS start, mer, count(*) AS cnt FROM m GROUP BY start, mer",
     "mer_tally": f"WITH {_TALLY} SELECT mer, cnt FROM tally",
     "mer_tally_weighted": f"WITH {_POP}, {_WEIGHTS}, {_sets('(SELECT p.seq, coalesce(w.weight, 1.0) AS weight FROM pop p LEFT JOIN wt w USING (name))', 9, 'weight')} SELECT mer, round(sum(weight), 6) AS cnt FROM m GROUP BY mer",
     "mer_total_bad": f"WITH {_POP}, m AS (SELECT unnest(list_distinct({_windows('s', 9)})) AS mer FROM (SELECT replace(seq, 'X', 'x') AS s FROM pop)) SELECT count(*) AS total, true AS bad FROM m UNION ALL SELECT count(*), false FROM m WHERE NOT contains(mer, 'x')",
