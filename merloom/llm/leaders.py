@@ -20,12 +20,19 @@ def _local(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
     def sums(t: pa.Table) -> pa.Table:
         return t.group_by("value").aggregate([("n", "sum")]).select(["value", "n_sum"]).rename_columns(["value", "n"])
 
+    waiting: list[pa.Table] = []
+    rows = 0
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = sums(t if held is None else pa.concat_tables([held, t]))
-        if held.num_rows > most:
-            yield from held.append_column("node", pa.array([node] * held.num_rows, pa.int64())).to_batches()
-            node, held = node + 1, None
+        waiting.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        # summed when as much waits as is held, so that no row is summed again and again
+        if rows >= max(100_000, held.num_rows if held is not None else 0):
+            held, waiting, rows = sums(pa.concat_tables([*([held] if held is not None else []), *waiting])), [], 0
+            if held.num_rows > most:
+                yield from held.append_column("node", pa.array([node] * held.num_rows, pa.int64())).to_batches()
+                node, held = node + 1, None
+    if waiting:
+        held = sums(pa.concat_tables([*([held] if held is not None else []), *waiting]))
     if held is not None:
         yield from held.append_column("node", pa.array([node] * held.num_rows, pa.int64())).combine_chunks().to_batches()
 
