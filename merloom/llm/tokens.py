@@ -16,7 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,7 +277,7 @@ def worker_encoder(shared) -> Encoder:
 
 def text_blocks(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, list[str]]]:
     """Ranges of rows with about `most` bytes of text; null texts are empty."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     group = np.cumsum(size) // most
     edges = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(size)] if len(size) else np.zeros(1, np.int64)
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

@@ -196,3 +196,29 @@ def test_varied_subsets(spark):
         assert {r["id"] for r in got if r["request_id"] == request} == {r["id"] for r in order[:k]}
     assert {r["request_id"] for r in got} == {1, 2, 3}
     assert len({r["clade"] for r in order[:5]}) == 5
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rng = random.Random(7)
+    hot = _text(rng, 80)
+    data = [(i, None, hot if i % 3 == 0 else _text(rng, 60), "") for i in range(300)]
+    data.append((1000, "n", _text(rng, 10) + hot[:40], ""))
+    df = _frame(spark, data).repartition(3)
+    links, members = near_dup.near_duplicates(df)
+    assert members.groupBy("class").count().agg({"count": "max"}).first()[0] == 100
+    assert near_dup.similar_rows(links, members).count() == 100 * 99 // 2
+    copies = format_dup.format_copies(df).collect()
+    assert {r["copy"] for r in copies} == set(range(3, 300, 3)) and {r["keep"] for r in copies} == {0}
+    got = {r["id"]: (r["span_start"], r["span_len"]) for r in spans.shared_spans(df).collect()}
+    assert got == {i: (1, 80) for i in range(0, 300, 3)} | {1000: (11, 40)}
+
+
+def test_clashing_and_null_columns(spark):
+    """Columns named like the operators' own, and null ids, change nothing."""
+    text = "ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQ"
+    df = spark.createDataFrame([(1, text, 5, "x"), (2, text.lower(), 6, "y"), (None, text, 7, None)], "ord bigint, seq string, id int, text string").selectExpr("*", "1 AS node", "'k' AS key", "0 AS rank", "2 AS cell", "3 AS bucket")
+    links, members = near_dup.near_duplicates(df)
+    assert rows(near_dup.similar_rows(links, members)) == [(1, 2)]
+    assert rows(format_dup.format_copies(df)) == [(1, 2)]
+    assert rows(spans.shared_spans(df)) == [(1, 1, 34), (2, 1, 34)]
+    assert terms.term_counts(df).agg({"records": "max"}).first()[0] == 3
