@@ -32,7 +32,6 @@ def micro_curve(population: DataFrame, antigens: DataFrame, e: int) -> DataFrame
     """k, covered, total, share: counts of population mers that stand in one of the first k antigens."""
     tally = mer_tally(population, e)
     gains = tally.join(first_antigen(antigens, e), "mer", "left").groupBy("k").agg(F.sum("cnt").alias("covered"))
-    gains = gains.withColumn("total", F.sum("covered").over(Window.partitionBy(F.lit(1))))
     total = tally.agg(F.sum("cnt")).scalar()
     return _curve(antigens, gains.where("k is not null").select("k", "covered"), "covered").select("k", "covered", F.coalesce(total, F.lit(0)).alias("total"), (F.col("covered") / total).alias("share"))
 

@@ -14,6 +14,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling costs more than running
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
