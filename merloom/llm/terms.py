@@ -29,10 +29,20 @@ def _counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 value = value * 26 + codes[k : k + len(value)]
             value = value[spread(o[:-1], counts)]
             record = np.repeat(np.arange(hi - lo), counts)
-            term, times = np.unique(value, return_counts=True)
-            at = np.searchsorted(term, value)
-            once = np.unique(record * len(term) + at) % len(term)
-            records = np.bincount(once, minlength=len(term))
+            space = 26**width
+            if space <= len(value) * 4:
+                # few terms are possible: counted in place
+                all_times = np.bincount(value, minlength=space)
+                term = np.flatnonzero(all_times)
+                times = all_times[term]
+                key = np.sort(record * space + value)
+                records = np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % space, minlength=space)[term]
+            else:
+                ordered = np.sort(value)
+                first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                term, times = ordered[first], np.diff(np.r_[first, len(ordered)])
+                key = np.sort(record * len(term) + np.searchsorted(term, value))
+                records = np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % len(term), minlength=len(term))
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[term, -1]), pa.array(np.r_[times, 0].astype(np.int64)), pa.array(np.r_[records, np.count_nonzero(counts)].astype(np.int64))], ["term", "times", "records"])
 
 
