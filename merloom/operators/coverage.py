@@ -33,7 +33,7 @@ def micro_curve(population: DataFrame, antigens: DataFrame, e: int) -> DataFrame
     tally = mer_tally(population, e)
     gains = tally.join(first_antigen(antigens, e), "mer", "left").groupBy("k").agg(F.sum("cnt").alias("covered"))
     total = tally.agg(F.sum("cnt")).scalar()
-    return _curve(antigens, gains.where("k is not null").select("k", "covered"), "covered").select("k", "covered", F.coalesce(total, F.lit(0)).alias("total"), (F.col("covered") / total).alias("share"))
+    return _curve(antigens, gains.where("k is not null").select("k", "covered"), "covered").select("k", "covered", F.coalesce(total, F.lit(0)).alias("total"), F.try_divide(F.col("covered"), total).alias("share"))
 
 
 def offby_curve(population: DataFrame, antigens: DataFrame, e: int, d: int) -> DataFrame:
@@ -63,7 +63,7 @@ def macro_curve(population: DataFrame, antigens: DataFrame, e: int, weights: Dat
     total = sets.agg(F.sum("weight")).scalar()
     hits = sets.select((F.col("weight") / F.size("m")).alias("part"), F.explode("m").alias("mer")).join(first_antigen(antigens, e), "mer")
     gains = hits.groupBy("k").agg(F.sum("part").alias("part"))
-    return _curve(antigens, gains, "part").select("k", (100 * (1 - F.col("part") / total)).alias("missed"))
+    return _curve(antigens, gains, "part").select("k", (100 * (1 - F.try_divide(F.col("part"), total))).alias("missed"))
 
 
 def antigen_mers(population: DataFrame, antigens: DataFrame, e: int, weights: DataFrame | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def antigen_mers(population: DataFrame, antigens: DataFrame, e: int, weights: Da
     total = rows.agg(F.sum("weight")).scalar()
     tally = exploded(rows, "seq", e, ["weight"]).groupBy("mer").agg(F.sum("weight").alias("cnt"))
     cnt = F.coalesce("cnt", F.lit(0.0))
-    return wanted.join(tally, "mer", "left").select("k", "mer", cnt.alias("cnt"), (cnt / total).alias("share"))
+    return wanted.join(tally, "mer", "left").select("k", "mer", cnt.alias("cnt"), F.try_divide(cnt, total).alias("share"))
 
 
 def site_curve(population: DataFrame, antigens: DataFrame, e: int) -> DataFrame:
@@ -104,7 +104,7 @@ def bootstrap(population: DataFrame, antigens: DataFrame, e: int, resamples: int
     """k, mean, deviation: mean and population deviation of the covered share over resamples with replacement.
 
     Each sequence is drawn a Poisson(1) number of times in each resample, which needs no table of draws and no numbering;
-    for many sequences this is the draw of as many as there are.
+    for many sequences this is the draw of as many as there are. A resample without a mer has no share and does not count.
     """
     first = first_antigen(antigens, e)
     rows = exploded(population, "seq", e, ["ord"]).join(first, "mer", "left").groupBy("ord", "k").agg(F.count("*").alias("n"))
@@ -121,7 +121,7 @@ def bootstrap(population: DataFrame, antigens: DataFrame, e: int, resamples: int
     grid = antigen_numbers(antigens).select("k", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).join(sums.where("k is not null"), ["k", "b"], "left")
     order = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     curve = grid.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(order)).join(whole, "b")
-    return curve.groupBy("k").agg(F.avg(F.col("n") / F.col("total")).alias("mean"), F.stddev_pop(F.col("n") / F.col("total")).alias("deviation"))
+    return curve.groupBy("k").agg(F.avg(F.try_divide("n", "total")).alias("mean"), F.stddev_pop(F.try_divide("n", "total")).alias("deviation"))
 
 
 def trial_stats(scores: DataFrame) -> DataFrame:

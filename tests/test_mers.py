@@ -140,3 +140,13 @@ def test_greedy_gain_is_recomputed_score(spark):
     assert picks[0][0] == "ABCDE"
     refined = greedy.refined(members, 3, 2)
     assert sum(s for _, s in refined) >= sum(s for _, s in picks)
+
+
+def test_curves_of_an_empty_population(spark):
+    pop, ant = _seqs(spark, "", None), _seqs(spark, "ABC", "CDE")
+    assert rows(coverage.micro_curve(pop, ant, 3)) == [(1, 0, 0, None), (2, 0, 0, None)]
+    assert rows(coverage.macro_curve(pop, ant, 3)) == [(1, None), (2, None)]
+    assert {r["cnt"] for r in coverage.antigen_mers(pop, ant, 3).collect()} == {0.0}
+    assert coverage.site_curve(pop, ant, 3).count() == 0
+    assert rows(coverage.bootstrap(pop, ant, 3)) == []
+    assert coverage.micro_curve(pop, ant.limit(0), 3).count() == 0
