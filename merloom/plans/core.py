@@ -14,7 +14,7 @@ from merloom.functions.residues import residues
 from merloom.operators import columns, coverage, decycle, filters, graph, greedy, offby, paths, raw_rows, tally
 from merloom.plans.design import Design, design
 from merloom.sources import readers, writers
-from merloom.storage import shared_dir, written
+from merloom.storage import shared_dir, spread, written
 from merloom.streaming.tally import windowed_tally
 
 #: Lengths of short and long mers.
@@ -22,7 +22,8 @@ E, K = 9, 15
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name in ("sequences", "raw_rows") else table
 
 
 def _population(spark: SparkSession, d: str) -> DataFrame:
