@@ -8,46 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.llm import format_dup, language, leaders, near_dup, packing, spans, terms, tokens, varied
+from merloom.storage import spread
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    links, members = near_dup.near_duplicates(spark.read.parquet(f"{d}/sequences.parquet"))
+    links, members = near_dup.near_duplicates(_t(spark, d, "sequences"))
     pairs = near_dup.similar_rows(links, members)
     return pairs.select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return format_dup.format_copies(spark.read.parquet(f"{d}/sequences.parquet")).select(F.col("keep").alias("keep_ord"), F.col("copy").alias("copy_ord"))
+    return format_dup.format_copies(_t(spark, d, "sequences")).select(F.col("keep").alias("keep_ord"), F.col("copy").alias("copy_ord"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = format_dup.canonical(spark.read.parquet(f"{d}/sequences.parquet"))
+    rows = format_dup.canonical(_t(spark, d, "sequences"))
     return format_dup.format_groups(rows).select(F.col("keep").alias("keep_ord"), "copies")
 
 
 def p3_order(spark: SparkSession, d: str) -> DataFrame:
-    return varied.varied_order(spark.read.parquet(f"{d}/sequences.parquet")).withColumnRenamed("id", "ord")
+    return varied.varied_order(_t(spark, d, "sequences")).withColumnRenamed("id", "ord")
 
 
 def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'subset'")
-    return varied.varied_subsets(spark.read.parquet(f"{d}/sequences.parquet"), wanted).withColumnRenamed("id", "ord")
+    return varied.varied_subsets(_t(spark, d, "sequences"), wanted).withColumnRenamed("id", "ord")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return terms.term_counts(spark.read.parquet(f"{d}/sequences.parquet")).where("mark is not null").select("mer", "mark")
+    return terms.term_counts(_t(spark, d, "sequences")).where("mark is not null").select("mer", "mark")
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    return terms.term_counts(spark.read.parquet(f"{d}/sequences.parquet"))
+    return terms.term_counts(_t(spark, d, "sequences"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(spark.read.parquet(f"{d}/sequences.parquet")).withColumnRenamed("id", "ord")
+    return spans.shared_spans(_t(spark, d, "sequences")).withColumnRenamed("id", "ord")
 
 
 def p5_parts(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_parts(spark.read.parquet(f"{d}/sequences.parquet")).withColumnRenamed("id", "ord").withColumn("share", F.round("share", 6))
+    return spans.shared_parts(_t(spark, d, "sequences")).withColumnRenamed("id", "ord").withColumn("share", F.round("share", 6))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,16 +64,16 @@ def p7_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return tokens.token_ids(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'container'")
-    return packing.containers(spark.read.parquet(f"{d}/documents.parquet"), wanted).withColumnRenamed("id", "doc_id")
+    return packing.containers(_t(spark, d, "documents"), wanted).withColumnRenamed("id", "doc_id")
 
 
 def _network(spark: SparkSession, d: str) -> tuple[DataFrame, language.Network]:
-    documents = spark.read.parquet(f"{d}/documents.parquet")
+    documents = _t(spark, d, "documents")
     return documents, language.fitted(documents, spark.read.parquet(f"{d}/lang_samples.parquet"))
 
 
