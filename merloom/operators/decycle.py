@@ -1,8 +1,8 @@
 """Removing the cycles of a mer graph at little cost.
 
 Edges on a cycle stay within one weak component of what is left when nodes without predecessor or successor are peeled
-off, so components are worked on side by side, each in one task. A component above a bound is first thinned on the
-cluster: its cheapest edges go, a share in each round, until its parts are small enough.
+off, so components are worked on side by side, each in one task. A component above a bound is first split into its
+strongly connected parts on the cluster; edges between parts lie on no cycle and stay.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from merloom.storage import written
 
-#: Edges of a component that one task works on, and the share of edges that one round of thinning removes.
-TASK_EDGES, THINNED = 200_000, 0.02
+#: A component of more edges is split into its strongly connected parts before tasks work on them.
+TASK_EDGES = 200_000
 #: Rounds of peeling before components are formed; more only make them smaller.
 PEELED = 8
 
@@ -52,6 +52,44 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("mer", F.col("new").alias("label"))
 
 
+def _first_name(edges: DataFrame, turn: int) -> DataFrame:
+    """mer, label: of all nodes that reach a node (itself among them) the first in an order by hash, by rounds of neighbours and jumps to the label's own label."""
+    name = F.concat(F.lpad(F.hex(F.xxhash64("mer", F.lit(turn))), 16, "0"), F.col("mer"))
+    pairs = edges.select("src", "dst")
+    labels = pairs.select(F.explode(F.array("src", "dst")).alias("mer")).distinct().select("mer", name.alias("label"))
+    labels = written(labels, "first")
+    while True:
+        seen = pairs.join(labels.select(F.col("mer").alias("src"), F.col("label").alias("l")), "src").groupBy(F.col("dst").alias("mer")).agg(F.min("l").alias("l"))
+        low = labels.join(seen, "mer", "left").select("mer", "label", F.least("label", "l").alias("new"))
+        # what reaches the node of the label reaches this node too
+        up = low.select(F.col("new").alias("root")).distinct().join(labels.select("mer", F.col("label").alias("best")), F.substring("root", 17, 1 << 20) == F.col("mer")).select("root", "best")
+        new = written(low.join(up, F.col("new") == F.col("root")).select("mer", "label", F.least("new", "best").alias("new")), "first")
+        labels = new.select("mer", F.col("new").alias("label"))
+        if new.where("new <> label").isEmpty():
+            return labels
+
+
+def strong_edges(edges: DataFrame) -> DataFrame:
+    """The edges within strongly connected parts, all columns and `part`, the same for all edges of a part.
+
+    Nodes of one part are reached by the same nodes and reach the same nodes, so edges between different labels go. When
+    a turn over both directions finds none, the first node of each part reaches all its nodes and is reached by them.
+    """
+    names, turn = edges.columns, 0
+    have = edges.count()
+    while True:
+        turn += 1
+        edges = cyclic_core(edges)
+        for near, far in (("src", "dst"), ("dst", "src")):
+            labels = _first_name(edges.select(F.col(near).alias("src"), F.col(far).alias("dst")), turn)
+            a, b = (labels.select(F.col("mer").alias(end), F.col("label").alias(x)) for end, x in (("src", "part"), ("dst", "_b")))
+            edges = written(edges.select(*names).join(a, "src").join(b, "dst").where(F.col("part") == F.col("_b")).select(*names, "part"), "strong")
+        left = edges.count()
+        if left == have:
+            return edges
+        have = left
+
+
 def strong_parts(after: dict[str, set[str]]) -> list[list[str]]:
     """Strongly connected sets of more than one node: nodes by finishing time, then searches against the edges."""
     seen: set[str] = set()
@@ -108,9 +146,7 @@ def shortest_cycle(after: dict[str, set[str]], start: str, inside: set[str]) ->
 
 
 def _broken(part: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """The edges to remove from one component; costs stay as they were at first."""
-    label = str(part["label"].iloc[0])
-    rng = random.Random(f"{seed}:{label}")
+    """The edges to remove from one component; costs stay as they were at first. The random choices depend on the strongly connected part alone."""
     after: dict[str, set[str]] = {}
     cost = {}
     for a, b, c in zip(part["src"], part["dst"], part["cost"], strict=True):
@@ -120,7 +156,7 @@ def _broken(part: pd.DataFrame, seed: int) -> pd.DataFrame:
     gone = []
     while parts := strong_parts(after):
         for nodes in parts:
-            inside = set(nodes)
+            inside, rng = set(nodes), random.Random(f"{seed}:{nodes[0]}")
             while (cycle := shortest_cycle(after, rng.choice(nodes), inside)) is not None:
                 cheapest = min(zip(cycle[:-1], cycle[1:], strict=True), key=lambda x: (cost[x], x))
                 after[cheapest[0]].discard(cheapest[1])
@@ -132,25 +168,16 @@ def removed_edges(costed: DataFrame, seed: int = 1, task_edges: int = TASK_EDGES
     """src, dst, cost of the edges to remove from (src, dst, cost) so that no cycle is left.
 
     In each strongly connected part: a node at random, a shortest cycle through it, its cheapest edge goes (ties by
-    name), until the node is on no cycle; again while a part is left. An empty table, or one without cycles, gives no rows.
+    name), until the node is on no cycle; again while a part is left. Components of more than `task_edges` edges are
+    split into their parts first; the result is the same. An empty table, or one without cycles, gives no rows.
     """
-    costed = costed.select("src", "dst", F.col("cost").cast("double").alias("cost"))
-    thinned = None
-    edges = cyclic_core(written(costed, "costed"))
-    while True:
-        labels = components(edges)
-        tagged = written(edges.join(labels.select(F.col("mer").alias("src"), "label"), "src"), "tagged")
-        sizes = tagged.groupBy("label").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > task_edges)
-        if large.isEmpty():
-            break
-        within = tagged.join(F.broadcast(large.limit(10_000)), "label")
-        cut = within.groupBy("label").agg(F.percentile_approx("cost", F.lit(THINNED), F.lit(1000)).alias("cut"))
-        out = written(within.join(F.broadcast(cut), "label").where(F.col("cost") <= F.col("cut")).select("src", "dst", "cost"), "thinned")
-        thinned = out if thinned is None else thinned.unionByName(out)
-        edges = cyclic_core(edges.join(out.select("src", "dst"), ["src", "dst"], "left_anti"))
-    gone = tagged.groupBy("label").applyInPandas(lambda part: _broken(part, seed), "src string, dst string, cost double")
-    return gone if thinned is None else gone.unionByName(thinned)
+    edges = cyclic_core(written(costed.select("src", "dst", F.col("cost").cast("double").alias("cost")), "costed"))
+    tagged = written(edges.join(components(edges).select(F.col("mer").alias("src"), "label"), "src").select("src", "dst", "cost", "label"), "tagged")
+    large = written(tagged.groupBy("label").count().where(F.col("count") > task_edges).select("label"), "large")
+    if not large.isEmpty():
+        parts = strong_edges(tagged.join(large, "label", "left_semi").select("src", "dst", "cost"))
+        tagged = tagged.join(large, "label", "left_anti").select("src", "dst", "cost", "label").unionByName(parts.withColumnRenamed("part", "label"))
+    return tagged.groupBy("label").applyInPandas(lambda part: _broken(part, seed), "src string, dst string, cost double")
 
 
 def decycled(edges: DataFrame, costed: DataFrame, seed: int = 1) -> DataFrame:

@@ -75,6 +75,25 @@ def test_acyclic_graph_loses_nothing(spark):
     assert decycle.removed_edges(costed).count() == 0
 
 
+def test_large_acyclic_graph_loses_nothing(spark):
+    """Long ways outlast the peeling, and all costs are tied."""
+    costed = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", 0.0) for i in range(22) for j in (i + 1, i + 2)], "src string, dst string, cost double")
+    assert decycle.removed_edges(costed, task_edges=5).count() == 0
+
+
+def test_strong_edges_are_those_of_the_search(spark):
+    rng = random.Random(6)
+    pairs = sorted({(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}") for _ in range(28)})
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    part = {x: k for k, nodes in enumerate(decycle.strong_parts(after)) for x in nodes}
+    pairs = [(a, b) for a, b in pairs if a != b]
+    want = sorted((a, b) for a, b in pairs if a in part and part[a] == part.get(b))
+    assert want and rows(decycle.strong_edges(_edges(spark, pairs)).select("src", "dst")) == want
+
+
 def test_component_labels(spark):
     edges = _edges(spark, [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(40)] + [("z1", "z2")])
     labels = dict(rows(decycle.components(edges)))
