@@ -2,8 +2,8 @@
 
 Every window of `span` residues has a Rabin-Karp hash. Windows are brought together by the smallest hashed mer in them
 (equal windows have equal smallest mers), as runs of neighbouring windows packed in one binary column for each batch
-and bucket, so that a window costs about four bytes in the shuffle instead of a row. Windows that repeat within a batch
-are combined there: they are reported at once and one copy goes on.
+and bucket, so that a window costs about four bytes in the shuffle instead of a row. Windows that several records
+of a batch hold are combined there: they are reported at once and go on for two records, so that other batches learn of it.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the windows at `at` stand in more than one owner, and which to keep so that each text is kept once."""
+    """Which of the windows at `at` stand in more than one owner, and which to keep: all of a text with one owner, else one of its smallest and one of its largest owner."""
     tab = _letters(data)
     key, proof = rolling(tab, span, BASE)[at], rolling(tab, span, PROOF)[at]
     order = np.argsort(key, kind="stable")
@@ -59,10 +59,13 @@ def _repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray, span: int) ->
     new = np.r_[True, (key[1:] != key[:-1]) | (proof[1:] != proof[:-1])]
     group = np.cumsum(new) - 1
     start = np.flatnonzero(new)
-    many = np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
+    low, high = np.minimum.reduceat(who, start), np.maximum.reduceat(who, start)
+    many = (low != high)[group]
     shared, keep = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    shared[order] = many[group]
-    keep[order[new]] = True
+    shared[order], keep[order] = many, ~many
+    for end in (low, high):
+        found = np.flatnonzero(many & (who == end[group]))
+        keep[order[found[np.r_[True, group[found[1:]] != group[found[:-1]]][: len(found)]]]] = True
     return shared, keep
 
 

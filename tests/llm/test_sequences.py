@@ -159,6 +159,28 @@ def test_shared_spans_of_parts(spark, monkeypatch):
     assert covered == want
 
 
+def test_shared_spans_of_repeats_in_one_record(monkeypatch):
+    """A text twice in one record, or in two pieces of it, that other pieces hold too: all its places are shared."""
+    monkeypatch.setattr(spans, "PIECE", 300)
+    rng = random.Random(8)
+    x, y = _text(rng, 30), _text(rng, 40)
+    data = [(1, "a", x + _text(rng, 60) + x + "|" + x, ""), (2, "b", _text(rng, 290), ""), (3, "c", _text(rng, 20) + x, "")]
+    data += [(4, "d", y + _text(rng, 400) + y, ""), (5, "e", y, ""), (6, "f", _text(rng, 290), ""), (4, "d", y + _text(rng, 5) + y, "")]
+    for order in (data, data[::-1]):
+        batches = [pa.RecordBatch.from_arrays([pa.array([d[0]]), pa.array([_residues(d[2])])], ["id", "text"]) for d in order]
+        batches += [pa.RecordBatch.from_arrays([pa.array([d[0] for d in order]), pa.array([_residues(d[2]) for d in order])], ["id", "text"])]
+        for sent in (batches[:-1], batches[-1:]):
+            table = pa.Table.from_batches(list(spans._spread_windows(iter(sent), 25, 13, 7))).sort_by("bucket").combine_chunks()
+            got = {}
+            for b in spans._shared_runs(iter(table.to_batches()), 25):
+                for i, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    got.setdefault(i, set()).update(range(first, first + n + 24))
+            want = {}
+            for i, start, n in _shared(data):
+                want.setdefault(i, set()).update(range(start - 1, start - 1 + n))
+            assert got == want
+
+
 def test_shared_parts(spark):
     data = _table()
     got = {r["id"]: (r["residues"], r["shared"]) for r in spans.shared_parts(_frame(spark, data)).collect()}
