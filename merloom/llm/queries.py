@@ -31,12 +31,12 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_order(spark: SparkSession, d: str) -> DataFrame:
-    return varied.varied_order(_t(spark, d, "sequences")).withColumnRenamed("id", "ord")
+    return varied.varied_order(_t(spark, d, "sequences"), whole=True).withColumnRenamed("id", "ord")
 
 
 def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'subset'")
-    return varied.varied_subsets(_t(spark, d, "sequences"), wanted).withColumnRenamed("id", "ord")
+    return varied.varied_subsets(_t(spark, d, "sequences"), wanted, whole=True).withColumnRenamed("id", "ord")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

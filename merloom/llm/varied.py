@@ -20,24 +20,42 @@ def clade(name: Column) -> Column:
 
 
 def _share(text: Column, letters: str) -> Column:
-    return F.least(F.floor((1 - F.length(F.translate(text, letters, "")) / F.length(text)) * 2 * SHARE_BINS), F.lit(SHARE_BINS - 1)).cast("int")
+    return F.least(F.floor((1 - F.length(F.translate(text, letters, "")) / F.greatest(F.length(text), F.lit(1))) * 2 * SHARE_BINS), F.lit(SHARE_BINS - 1)).cast("int")
 
 
-def grid(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", least: int = 20) -> DataFrame:
-    """id, clade, cell, mix: one row for each distinct residue text of at least `least` residues, at its smallest id."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), clade(F.col(name_col)).alias("clade"), residues(F.col(seq_col)).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
-    bins = rows.select(
+def _numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number within the group, from 1, in this order. Numbers come from range partitions: the number within the partition, and the sizes of the parts of the group before it, so a hot group is spread over many tasks."""
+    rows = written(rows.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(group, "part").agg(F.count("*").alias("n"))
+    before = sizes.select(group, "part", (F.sum("n").over(Window.partitionBy(group).orderBy("part")) - F.col("n")).alias("before")).where("before > 0")
+    local = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
+    # a partition begins with at most one group that has parts before it
+    return rows.withColumn("local", local).join(F.broadcast(before), [group, "part"], "left").withColumn(name, F.col("local") + F.coalesce("before", F.lit(0))).drop("part", "local", "before")
+
+
+def grid(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", least: int = 20, whole: bool = False) -> DataFrame:
+    """id, clade, cell, copy, mix: one row for each distinct residue text of at least `least` residues, at its smallest id, with copy 1.
+
+    With `whole` one row for each row with an id: copy numbers those of one text by id, and texts of fewer than `least`
+    residues, empty and null ones have a cell of their own.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), clade(F.col(name_col)).alias("clade"), F.coalesce(residues(F.col(seq_col)), F.lit("")).alias("text")).where(F.col("id").isNotNull())
+    full = F.length("text") >= least
+    bins = (rows if whole else rows.where(full)).select(
         "id",
         "clade",
-        F.pmod(F.xxhash64("clade"), F.lit(CLADE_BINS)).cast("int").alias("b0"),
-        F.least(F.floor(F.log2(F.length("text") / least) * 4), F.lit(LENGTH_BINS - 1)).cast("int").alias("b1"),
-        _share(F.col("text"), "AVILMFWYC").alias("b2"),
-        _share(F.col("text"), "DEKRH").alias("b3"),
+        F.when(full, F.pmod(F.xxhash64("clade"), F.lit(CLADE_BINS)).cast("int")).otherwise(-1).alias("b0"),
+        F.when(full, F.least(F.floor(F.log2(F.length("text") / least) * 4), F.lit(LENGTH_BINS - 1)).cast("int")).otherwise(-1).alias("b1"),
+        F.when(full, _share(F.col("text"), "AVILMFWYC")).otherwise(-1).alias("b2"),
+        F.when(full, _share(F.col("text"), "DEKRH")).otherwise(-1).alias("b3"),
         F.unhex(F.md5("text")).alias("key"),
     )
+    if whole:
+        cell = F.struct(*(F.col(f"b{k}") for k in range(4)))
+        return _numbered(bins, "key", ["id"], "copy").select("id", "clade", cell.alias("cell"), "copy", F.xxhash64("key").alias("mix"))
     one = bins.groupBy("key").agg(F.min(F.struct("id", "clade", "b0", "b1", "b2", "b3")).alias("r"))
     cell = F.struct(*(F.col(f"r.b{k}") for k in range(4)))
-    return one.select("r.id", "r.clade", cell.alias("cell"), F.xxhash64("key").alias("mix"))
+    return one.select("r.id", "r.clade", cell.alias("cell"), F.lit(1).alias("copy"), F.xxhash64("key").alias("mix"))
 
 
 def numbered_cells(points: DataFrame) -> DataFrame:
@@ -47,32 +65,28 @@ def numbered_cells(points: DataFrame) -> DataFrame:
     return sizes.withColumn("turn", turn).withColumn("cell_no", F.row_number().over(Window.orderBy("turn", F.xxhash64("cell.b0"), "cell.b0"))).drop("turn")
 
 
-def varied_order(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", least: int = 20) -> DataFrame:
-    """id, clade, cell_no, rank_in_cell of every distinct record: a varied subset of any size k is the first k by rank_in_cell, then cell_no.
+def varied_order(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", least: int = 20, whole: bool = False) -> DataFrame:
+    """id, clade, cell_no, rank_in_cell of every distinct record (with `whole` of every row): a varied subset of any size k is the first k by rank_in_cell, then cell_no.
 
-    Ranks come from range partitions by cell and hash: the rank within the partition, and the sizes of the parts of the
-    cell before it. A cell that holds a third of all records is spread over many tasks.
+    Within a cell the first row of each text comes before the second of any. A cell that holds a third of all records is
+    spread over many tasks.
     """
-    points = grid(df, id_col, name_col, seq_col, least).repartitionByRange("cell", "mix", "id").withColumn("part", F.spark_partition_id())
-    points = written(points, "ranges")
-    cells = numbered_cells(points)
-    sizes = points.groupBy("cell", "part").agg(F.count("*").alias("n"))
-    before = sizes.select("cell", "part", (F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("cell", "part").orderBy("mix", "id"))
-    ranked = points.withColumn("local", local).join(F.broadcast(before), ["cell", "part"]).join(F.broadcast(cells), "cell")
-    return ranked.select("id", "clade", "cell_no", (F.col("before") + F.col("local")).alias("rank_in_cell"))
+    points = written(grid(df, id_col, name_col, seq_col, least, whole), "grid")
+    ranked = _numbered(points, "cell", ["copy", "mix", "id"], "rank_in_cell").join(F.broadcast(numbered_cells(points)), "cell")
+    return ranked.select("id", "clade", "cell_no", "rank_in_cell")
 
 
-def varied_subsets(df: DataFrame, requests: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", request_col: str = "request_id", amount_col: str = "amount", least: int = 20) -> DataFrame:
+def varied_subsets(df: DataFrame, requests: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", request_col: str = "request_id", amount_col: str = "amount", least: int = 20, whole: bool = False) -> DataFrame:
     """request_id, rank_in_cell, cell_no, id, clade: for each request that many records.
 
     Records with equal residues count once. Records are ranked within their cell by a hash of the text; the order is by
     rank, then cell, cells in turn over the clades. The place of a record in that order follows from its rank and the
     sizes of the cells alone, so no task sees all records. Requests with a null amount or one below 1 get no rows; one
     for more than there are distinct texts gets all of these. Null names have the clade ''; rows without an id or with
-    fewer than `least` residues are never chosen.
+    fewer than `least` residues are never chosen. With `whole` each row with an id can be chosen: copies of a text have
+    later ranks, short and empty texts a cell of their own, and a request gives as many records as it asks for or there are.
     """
-    points = written(grid(df, id_col, name_col, seq_col, least), "grid")
+    points = written(grid(df, id_col, name_col, seq_col, least, whole), "grid")
     cells = written(numbered_cells(points), "cells")
     by_size = Window.orderBy("size", "cell_no")
     steps = cells.select("size", (F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(by_size) + 1).alias("open"), (F.sum("size").over(by_size) - F.col("size")).alias("closed"))
@@ -84,8 +98,7 @@ def varied_subsets(df: DataFrame, requests: DataFrame, id_col: str = "ord", name
     last = last.select("request_id", "amount", F.coalesce("rounds", cells.agg(F.max("size")).scalar()).alias("rounds"), F.coalesce(F.col("s.closed") + F.col("s.open") * (F.col("rounds") - 1), F.lit(0)).alias("before"))
     last = written(last, "rounds")
     limit = last.agg(F.max("rounds")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("mix", "id"))
-    ranked = points.withColumn("rank_in_cell", rank).where(F.col("rank_in_cell") <= limit)
+    ranked = _numbered(points, "cell", ["copy", "mix", "id"], "rank_in_cell").where(F.col("rank_in_cell") <= limit)
     placed = ranked.join(F.broadcast(cells), "cell")
     # the place of each open cell in the last round
     open_cells = cells.select("cell_no", F.col("size")).join(F.broadcast(last.select("request_id", "rounds")), F.col("size") >= F.col("rounds"))

@@ -220,6 +220,21 @@ def test_varied_subsets(spark):
     assert len({r["clade"] for r in order[:5]}) == 5
 
 
+def test_requests_are_met_with_copies(spark):
+    rng = random.Random(4)
+    hot = _text(rng, 80)
+    data = [(i, f"B.{i}", hot if i % 3 else _text(rng, 60), "") for i in range(60)] + [(100, "B.x", "AC", ""), (101, None, None, ""), (102, "", "", "")]
+    df = _frame(spark, data).repartition(3)
+    wanted = spark.createDataFrame([(1, 30), (2, 63), (3, 1000)], "request_id int, amount bigint")
+    got = varied.varied_subsets(df, wanted, whole=True).collect()
+    order = varied.varied_order(df, whole=True).orderBy("rank_in_cell", "cell_no").collect()
+    assert {r["id"] for r in order} == {d[0] for d in data} and len({(r["rank_in_cell"], r["cell_no"]) for r in order}) == 63
+    for request, k in ((1, 30), (2, 63), (3, 63)):
+        assert sorted(r["id"] for r in got if r["request_id"] == request) == sorted(r["id"] for r in order[:k])
+    cell = [r["id"] for r in order if r["cell_no"] == next(x["cell_no"] for x in order if x["id"] == 1)]
+    assert [i for i in cell if i < 100 and i % 3] == [i for i in range(60) if i % 3]
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rng = random.Random(7)
     hot = _text(rng, 80)
