@@ -80,7 +80,7 @@ def greedy_path(nodes: DataFrame, edges: DataFrame) -> list[str]:
 def design(population: DataFrame, p: Design, weights: DataFrame | None = None) -> DataFrame:
     """path_id, name, seq, share: the designed sequences (names EG-0, EG-1, ...) and the share of all counts that they cover together.
 
-    `fixed` sequences come first and stay. Each trial after the first starts its turns with other replacements; the best
+    `fixed` sequences come first and stay. Trial t has t more turns than the first, from the same start; the best
     total wins. There may be fewer than m sequences, if no other way gains.
     """
     nodes, edges, total = design_graph(population, p, weights)
