@@ -121,3 +121,11 @@ def test_cost_names(spark):
     nodes = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1)], "mer string, cnt bigint")
     got = graph.edge_costs(nodes, edges, graph.levels(edges, "a"), ["rss", "iso", "no such"]).where("src = 'a'").select("rss", "iso", "`no such`")
     assert rows(got) == [(7, 0, 7)]
+
+
+def test_splitting_changes_no_result(spark):
+    rng = random.Random(3)
+    pairs = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(45)) if a != b})
+    costed = spark.createDataFrame([(a, b, float(rng.randrange(3))) for a, b in pairs], "src string, dst string, cost double")
+    gone = rows(decycle.removed_edges(costed))
+    assert gone and gone == rows(decycle.removed_edges(costed, task_edges=5))
