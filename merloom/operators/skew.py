@@ -1,4 +1,4 @@
-"""Joins of many rows with one row for each key, where one key may hold a large part of the rows."""
+"""Joins where one key may hold a large part of the rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: Rows of one key that may meet in one task.
 HOT_ROWS = 200_000
+#: Joined rows that one key may make in one task.
+HOT_PAIRS = 2_000_000
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left joined with right by key; rows of the keys in hot (_hot, _salts) are spread over salts on the left and repeated for each salt on the right."""
+    others = [c for c in left.columns if c != key]
+    left = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_salts")), F.lit(0)).cast("int")).drop("_hot", "_salts")
+    right = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_hot", "_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -18,7 +28,17 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_row
     any size, join by the key alone. Null keys match nothing. Columns of `rows` come first, then those of `groups`.
     """
     hot = groups.where(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / hot_rows).cast("int").alias("_salts"))
-    others = [c for c in rows.columns if c != key]
-    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_salts")), F.lit(0)).cast("int")).drop("_hot", "_salts")
-    right = groups.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_hot", "_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return _salted(rows, groups, key, hot)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Inner join of two sides that may both hold many rows of a key.
+
+    A key's joined rows are the product of its rows on both sides. The at most HOT_KEYS keys of the largest products
+    above `hot_pairs` are spread over as many salts as they fill (no more than the left side has rows of the key); the
+    rest join by the key alone. Null keys match nothing. Both sides are read twice, so cut costly lineage first.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key)
+    made = F.col("_l") * F.col("_r")
+    hot = sizes.where(made > hot_pairs).orderBy(made.desc(), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.least(F.ceil(made / hot_pairs), F.col("_l")).cast("int").alias("_salts"))
+    return _salted(left, right, key, hot)

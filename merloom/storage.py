@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input that one task of a data-sized shuffle stands for, while there are at most MANY_TASKS; beyond, tasks grow up to LARGE_TASK_BYTES.
+TASK_BYTES, MANY_TASKS, LARGE_TASK_BYTES = 2 << 20, 20_000, 256 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new local one, which is then set."""
+    """The folder in ``spark.checkpoint.dir``, else that of the context. Where both are unset a new local one is set, on one machine only; on a cluster that is an error, as its executors share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and held.isDefined():
+        return held.get()
     if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-merloom-", dir="/tmp")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-merloom-", dir="/tmp")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -24,7 +32,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/merloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that no later plan reads; other DataFrames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def tasks_for(df: DataFrame, times: float = 1) -> int:
+    """Tasks for a shuffle of about `times` the bytes of df, as far as Catalyst knows these; at least spark.sql.shuffle.partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) * times
+    if size >= 1 << 60:  # not known
+        return least
+    return max(least, min(math.ceil(size / TASK_BYTES), MANY_TASKS), math.ceil(size / LARGE_TASK_BYTES))
 
 
 def spread(df: DataFrame) -> DataFrame:
