@@ -21,13 +21,13 @@ def _salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> Data
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of rows with groups (one row for each key, `size` = its number of rows).
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows with groups (one row for each key, `size` = its number of rows, read from `sizes` if that is given: a cheaper table of key and size).
 
     The at most HOT_KEYS largest keys above `hot_rows` rows are spread over as many salts as they fill; the rest, at
     any size, join by the key alone. Null keys match nothing. Columns of `rows` come first, then those of `groups`.
     """
-    hot = groups.where(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / hot_rows).cast("int").alias("_salts"))
+    hot = (groups if sizes is None else sizes).where(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / hot_rows).cast("int").alias("_salts"))
     return _salted(rows, groups, key, hot)
 
 

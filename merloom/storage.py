@@ -49,7 +49,7 @@ def forget(*tables: DataFrame) -> None:
 def tasks_for(df: DataFrame, times: float = 1) -> int:
     """Tasks for a shuffle of about `times` the bytes of df, as far as Catalyst knows these; at least spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) * times
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * times
     if size >= 1 << 60:  # not known
         return least
     return max(least, min(math.ceil(size / TASK_BYTES), MANY_TASKS), math.ceil(size / LARGE_TASK_BYTES))
