@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.class_links(*near_dup.near_duplicates(_t(spark, d, "sequences"))).select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.class_members(*near_dup.near_duplicates(_t(spark, d, "sequences"))).select(F.col("id").alias("ord"), F.col("first").alias("class_ord"), "copies", "links")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return format_dup.format_copies(_t(spark, d, "sequences")).select(F.col("keep").alias("keep_ord"), F.col("copy").alias("copy_ord"))
 
@@ -87,6 +95,8 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_links": p1_links,
+    "p1_members": p1_members,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_order": p3_order,

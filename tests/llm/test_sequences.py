@@ -56,16 +56,56 @@ def _similar(data):
 @pytest.mark.parametrize("node_rows", [2, near_dup.NODE_ROWS])
 def test_near_duplicates(spark, node_rows):
     data = _table()
-    links, members = near_dup.near_duplicates(_frame(spark, data), node_rows=node_rows)
-    got = {tuple(r) for r in near_dup.similar_rows(links, members).collect()}
+    links, members = near_dup.near_duplicates(_frame(spark, data), node_rows=node_rows, block_rows=3)
+    got = [tuple(r) for r in near_dup.similar_rows(links, members).collect()]
     want = _similar(data)
-    assert got <= want
+    assert len(got) == len(set(got)) and set(got) <= want
     assert len(got) >= 0.97 * len(want)
+    near = {}
+    for p in got:
+        for i in p:
+            near[i] = near.get(i, 0) + 1
+    classes = {}
+    for i, _, s, _ in data:
+        if len(_residues(s)) >= 20:
+            classes.setdefault(_residues(s), set()).add(i)
+    facts = [(i, min(c), len(c), near.get(i, 0)) for c in classes.values() for i in c]
+    assert rows(near_dup.class_members(links, members)) == sorted(facts, key=repr)
+    between = rows(near_dup.class_links(links, members).select("id_a", "id_b"))
+    first = {i: min(c) for c in classes.values() for i in c}
+    assert between == sorted({(first[a], first[b]) for a, b in got if first[a] == a and first[b] == b}, key=repr)
 
 
 def test_near_duplicates_of_nothing(spark):
     links, members = near_dup.near_duplicates(_frame(spark, []))
-    assert near_dup.similar_rows(links, members).count() == 0
+    assert near_dup.similar_rows(links, members).count() == 0 and near_dup.class_members(links, members).count() == 0
+
+
+def test_many_variants_of_one_text(spark):
+    """All links of a family whose nodes are cut into blocks: as many as brute force counts, few of them by pairs of rows."""
+    rng = random.Random(8)
+    base = _text(rng, 150)
+    data = []
+    for i in range(400):
+        s = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            s[rng.randrange(150)] = rng.choice(AMINO)
+        data.append((i, "n", "".join(s), ""))
+    links, members = near_dup.near_duplicates(_frame(spark, data), node_rows=32, block_rows=100)
+    got = {tuple(r) for r in near_dup.similar_rows(links, members).collect()}
+    want = _similar(data)
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60_000
+
+
+def test_windows_in_common():
+    rng = np.random.default_rng(1)
+    row = np.sort(rng.integers(0, 70, 4000))
+    codes = rng.integers(0, 300, 4000).astype(np.uint64)
+    sets = [set(codes[row == k].tolist()) for k in range(70)]
+    for left in (70, 30):
+        common, size = near_dup.common_windows(codes, row, 70, left)
+        assert size.tolist() == [len(x) for x in sets]
+        assert common.astype(int).tolist() == [[len(a & b) for b in (sets if left == 70 else sets[left:])] for a in sets[:left]]
 
 
 def test_index_finds_all_within_radius():
@@ -73,17 +113,24 @@ def test_index_finds_all_within_radius():
     base = rng.integers(0, 1 << 63, (9, 2), dtype=np.uint64)
     near = base[rng.integers(0, 9, 700)]
     for _ in range(8):
-        near[np.arange(700), rng.integers(0, 2, 700)] ^= np.uint64(1) << rng.integers(0, 63, 700).astype(np.uint64)
-    order = np.argsort(near_dup.gray_rank(near[:, 0]))
+        near[np.arange(700), rng.integers(0, 2, 700)] ^= np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)
+    rank, low = near_dup.gray_ranks(near[:, 0], near[:, 1])
+    order = np.lexsort((low, rank))
     bits = (np.ascontiguousarray(near[order, 0]), np.ascontiguousarray(near[order, 1]))
-    got = {p for x, y in near_dup._search(bits, np.array([0, 500]), np.array([500, 200]), 20) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    found = [p for x, y in near_dup._search(bits, np.array([0, 500]), np.array([500, 200]), 20) for p in zip(x.tolist(), y.tolist(), strict=True)]
     apart = sum(np.bitwise_count(w[:, None] ^ w[None]).astype(int) for w in bits)
-    assert got == {(i, j) for i in range(700) for j in range(i + 1, 700) if (i < 500) == (j < 500) and apart[i, j] <= 20}
+    assert len(found) == len(set(found))
+    assert set(found) == {(i, j) for i in range(700) for j in range(i + 1, 700) if (i < 500) == (j < 500) and apart[i, j] <= 20}
 
 
 def test_gray_rank_orders_the_gray_code():
     n = np.arange(64, dtype=np.uint64)
     assert (near_dup.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+    high, low = np.random.default_rng(2).integers(0, 1 << 63, (2, 50), dtype=np.uint64)
+    for k, (h, b) in enumerate(zip(*near_dup.gray_bits(high, low), strict=True)):
+        x = int(high[k]) << 64 | int(low[k])
+        assert int(h) << 64 | int(b) == x ^ x >> 1
+    assert all((a == b).all() for a, b in zip(near_dup.gray_ranks(*near_dup.gray_bits(high, low)), (high, low), strict=True))
 
 
 def test_format_copies(spark):
