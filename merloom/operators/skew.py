@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merloom.storage import written
+
 #: Keys that count as hot at most; their table is broadcast, so this bounds it.
 HOT_KEYS = 1000
 #: Rows of one key that may meet in one task.
@@ -13,6 +15,11 @@ HOT_ROWS = 200_000
 HOT_PAIRS = 2_000_000
 
 
+def _hot(sizes: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """_hot, _salts: the at most HOT_KEYS largest keys above `most`, and how often they fill it."""
+    return sizes.where(F.col(size) > most).orderBy(F.desc(size), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / most).cast("int").alias("_salts"))
+
+
 def _salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """left joined with right by key; rows of the keys in hot (_hot, _salts) are spread over salts on the left and repeated for each salt on the right."""
     others = [c for c in left.columns if c != key]
@@ -21,24 +28,21 @@ def _salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> Data
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
-    """Inner join of rows with groups (one row for each key, `size` = its number of rows, read from `sizes` if that is given: a cheaper table of key and size).
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with groups (one row for each key, `size` = its number of rows).
 
     The at most HOT_KEYS largest keys above `hot_rows` rows are spread over as many salts as they fill; the rest, at
     any size, join by the key alone. Null keys match nothing. Columns of `rows` come first, then those of `groups`.
     """
-    hot = (groups if sizes is None else sizes).where(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / hot_rows).cast("int").alias("_salts"))
-    return _salted(rows, groups, key, hot)
+    return _salted(rows, groups, key, _hot(groups, key, size, hot_rows))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """Inner join of two sides that may both hold many rows of a key.
+def hot_keys(sizes: DataFrame, key: str, size: str, most: int) -> DataFrame | None:
+    """The hot keys of a table of keys and sizes, for spread_join(), worked out once; none if there is no hot key."""
+    hot = written(_hot(sizes, key, size, most), "hot")
+    return None if hot.isEmpty() else hot
 
-    A key's joined rows are the product of its rows on both sides. The at most HOT_KEYS keys of the largest products
-    above `hot_pairs` are spread over as many salts as they fill (no more than the left side has rows of the key); the
-    rest join by the key alone. Null keys match nothing. Both sides are read twice, so cut costly lineage first.
-    """
-    sizes = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key)
-    made = F.col("_l") * F.col("_r")
-    hot = sizes.where(made > hot_pairs).orderBy(made.desc(), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"), F.least(F.ceil(made / hot_pairs), F.col("_l")).cast("int").alias("_salts"))
-    return _salted(left, right, key, hot)
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join of two sides that may both hold many rows of a key: those in `hot`, from hot_keys(), are spread over their salts by the left side's other columns and repeated on the right; the rest join by the key alone. Null keys match nothing."""
+    return left.join(right, key) if hot is None else _salted(left, right, key, hot)

@@ -46,12 +46,16 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def bytes_of(df: DataFrame) -> float | None:
+    """The bytes of df as Catalyst estimates them from its files; none if it can't."""
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def tasks_for(df: DataFrame, times: float = 1) -> int:
-    """Tasks for a shuffle of about `times` the bytes of df, as far as Catalyst knows these; at least spark.sql.shuffle.partitions."""
+    """Tasks for a shuffle of about `times` the bytes of df, as far as these are known; at least spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * times
-    if size >= 1 << 60:  # not known
-        return least
+    size = (bytes_of(df) or 0) * times
     return max(least, min(math.ceil(size / TASK_BYTES), MANY_TASKS), math.ceil(size / LARGE_TASK_BYTES))
 
 
