@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from merloom.functions.residues import residues
 from merloom.llm.ragged import row_slices, rolling, spread, text_bytes
-from merloom.operators.skew import salted_join, spread_join
+from merloom.operators.skew import HOT_PAIRS, HOT_ROWS, hot_keys, salted_join, spread_join
 from merloom.storage import tasks_for, written
 
 #: Min-hashes of a fingerprint, bits kept of each, and min-hashes that a mask chooses.
@@ -364,9 +364,8 @@ def candidate_pairs(texts: DataFrame, width: int, radius: int, node_rows: int =
 
 
 def _key(text: str = "text") -> tuple[Column, Column]:
-    """A text's name of 128 bits (MD5) as two numbers; the first is its id in the index."""
-    m = F.md5(text)
-    return tuple(F.conv(F.substring(m, k, 16), 16, -10).cast("bigint").alias(n) for k, n in ((1, "id"), (17, "proof")))
+    """A text's name of 128 bits as two numbers, hashes with two seeds; the first is its id in the index."""
+    return F.xxhash64(text).alias("id"), F.xxhash64(F.lit(271_828), text).alias("proof")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", width: int = 5, share: float = 0.7, least: int = 20, radius: int = 36, node_rows: int = NODE_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -388,16 +387,16 @@ def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", wi
     wanted = written((ids.unionByName(large.select("id")) if hot else ids).groupBy("id").agg(F.count("*").alias("pairs")), "wanted")
     needed = texts.join(F.broadcast(wanted.select("id")) if wanted.count() <= BROADCAST_ROWS else wanted.select("id"), "id", "left_semi")
     needed = needed.groupBy("id").agg(F.collect_set(F.struct("proof", "text")).alias("t")).select("id", F.explode("t").alias("t")).select("id", "t.proof", "t.text")
-    both = pairs
+    both, often = pairs, hot_keys(wanted, "id", "pairs", HOT_ROWS)
     for x in "ab":
         side = needed.select(F.col("id").alias(x), F.col("proof").alias(f"proof_{x}"), F.col("text").alias(f"text_{x}"))
-        both = salted_join(both, side, x, "pairs", sizes=wanted.withColumnRenamed("id", x))
+        both = spread_join(both, side, x, often)
     both = both.select("a", "proof_a", "b", "proof_b", "text_a", "text_b")
     link = "a bigint, proof_a bigint, b bigint, proof_b bigint, similarity double"
     links = both.mapInArrow(lambda it: _checked(it, width, share), link)
     if hot:
         close = written(close_blocks(large, radius), "close")
-        rows = salted_join(large.select("node", "block", "id"), needed, "id", "pairs", sizes=wanted).select("node", "block", "id", "proof", "text")
+        rows = spread_join(large.select("node", "block", "id"), needed, "id", often).select("node", "block", "id", "proof", "text")
         own = rows.join(close.withColumnRenamed("own", "block"), ["node", "block"]).select("node", F.col("block").alias("own"), "other", F.lit(0).alias("side"), "id", "proof", "text")
         far = rows.join(close.where("own < other").withColumnRenamed("other", "block"), ["node", "block"]).select("node", "own", F.col("block").alias("other"), F.lit(1).alias("side"), "id", "proof", "text")
         blocks = own.unionByName(far).repartition(tasks, "node", "own", "other").sortWithinPartitions("node", "own", "other", "side", "id")
@@ -407,13 +406,15 @@ def near_duplicates(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", wi
     return written(links, "links"), written(members, "members")
 
 
-def similar_rows(links: DataFrame, members: DataFrame) -> DataFrame:
+def similar_rows(links: DataFrame, members: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """Every pair id_a < id_b of rows in one class or in two linked classes. Its size is that of the answer: a class of n copies has n(n-1)/2 pairs, made in as many tasks as they need."""
+    ways = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("ways"))
+    sizes = written(members.groupBy("class").agg(F.count("*").alias("n")).join(ways, "class", "left").select("class", "n", (F.col("n") * (F.col("n") + F.coalesce("ways", F.lit(0)))).alias("made")).where("n > 1"), "sizes")
+    hot = hot_keys(sizes, "class", "made", hot_pairs)
     a, b = members.select(F.col("class").alias("class_a"), F.col("id").alias("x")), members.select(F.col("class").alias("class_b"), F.col("id").alias("y"))
-    across = spread_join(spread_join(links.select("class_a", "class_b"), a, "class_a").select("class_b", "x"), b, "class_b").select("x", "y")
-    several = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    copies = members.join(several, "class", "left_semi")
-    within = spread_join(copies.withColumnRenamed("id", "x"), copies.withColumnRenamed("id", "y"), "class").where("x < y").select("x", "y")
+    across = spread_join(spread_join(links.select("class_a", "class_b"), a, "class_a", hot).select("class_b", "x"), b, "class_b", hot).select("x", "y")
+    copies = members.join(sizes.select("class"), "class", "left_semi")
+    within = spread_join(copies.withColumnRenamed("id", "x"), copies.withColumnRenamed("id", "y"), "class", hot).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
