@@ -4,6 +4,8 @@ Every window of `span` residues has a Rabin-Karp hash. Windows are brought toget
 (equal windows have equal smallest mers), as runs of neighbouring windows packed in one binary column for each batch
 and bucket, so that a window costs about four bytes in the shuffle instead of a row. Windows that several records
 of a batch hold are combined there: they are reported at once and go on for two records, so that other batches learn of it.
+Windows under a mer that a large part of the text has as its smallest go by their own hash instead, so no mer fills a
+bucket; a bucket that is still large is counted in several passes by hash, so that its memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,11 +20,16 @@ from pyspark.sql import functions as F
 
 from merloom.functions.residues import residues
 from merloom.llm.ragged import rolling, spread, text_bytes
+from merloom.storage import bytes_of, tasks_for, written
 
 #: Odd bases of the two Rabin-Karp hashes modulo 2**64, and of the mers.
 BASE, PROOF, MER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Residues hashed at once.
 PIECE = 1 << 19
+#: Windows of a bucket that are counted at once.
+HELD = 1 << 20
+#: Share of the sampled windows from which on a mer is hot (so at most 1/HOT_SHARE are), windows that it has there at least, and bytes of the table that the sample stands for. The sample only settles where windows meet, not what comes out.
+HOT_SHARE, HOT_LEAST, SAMPLE_BYTES = 1 / 2000, 200, 4 << 20
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
@@ -50,10 +57,14 @@ def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.diff(np.r_[first, len(owner)])
 
 
-def _repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the windows at `at` stand in more than one owner, and which to keep: all of a text with one owner, else one of its smallest and one of its largest owner."""
+def _hashes(data: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two Rabin-Karp hashes of the windows at `at`."""
     tab = _letters(data)
-    key, proof = rolling(tab, span, BASE)[at], rolling(tab, span, PROOF)[at]
+    return rolling(tab, span, BASE)[at], rolling(tab, span, PROOF)[at]
+
+
+def _repeats(key: np.ndarray, proof: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows stand in more than one owner, and which to keep: all of a text with one owner, else one of its smallest and one of its largest owner."""
     order = np.argsort(key, kind="stable")
     key, proof, who = key[order], proof[order], owner[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (proof[1:] != proof[:-1])]
@@ -61,7 +72,7 @@ def _repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray, span: int) ->
     start = np.flatnonzero(new)
     low, high = np.minimum.reduceat(who, start), np.maximum.reduceat(who, start)
     many = (low != high)[group]
-    shared, keep = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    shared, keep = np.zeros(len(who), bool), np.zeros(len(who), bool)
     shared[order], keep[order] = many, ~many
     for end in (low, high):
         found = np.flatnonzero(many & (who == end[group]))
@@ -69,6 +80,38 @@ def _repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray, span: int) ->
     return shared, keep
 
 
+def _smallest_mers(data: np.ndarray, span: int, mer: int) -> np.ndarray:
+    """For each window of `span` bytes 44 bits of the smallest hash of a mer in it, and 20 bits of that mer's place; the first of equal ones."""
+    low = rolling(_letters(data), mer, MER)
+    low = low ^ (low >> np.uint64(29))
+    low = (low * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(~((1 << 20) - 1) & (1 << 64) - 1) | np.arange(len(low), dtype=np.uint64)
+    have, reach = 1, span - mer + 1
+    while have < reach:
+        step = min(have, reach - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return low
+
+
+def _mer_counts(batches: Iterator[pa.RecordBatch], span: int, mer: int) -> Iterator[pa.RecordBatch]:
+    """(mer, windows): how many windows of the batch have which smallest mer."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(0))
+        for row, start, size in _pieces(offsets, span):
+            at = spread(np.cumsum(size) - size, size - span + 1)
+            mers, n = np.unique(_smallest_mers(data[spread(offsets[row] + start, size)], span, mer)[at] >> np.uint64(20), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(mers.view(np.int64)), pa.array(n)], ["mer", "windows"])
+
+
+def hot_mers(df: DataFrame, id_col: str, seq_col: str, span: int, mer: int) -> list[int]:
+    """The smallest mers of at least HOT_SHARE (and HOT_LEAST) of the windows in a sample by hash of the id."""
+    part = max(1, round((bytes_of(df) or 0) / SAMPLE_BYTES))
+    rows = df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(part)) == 0).select(residues(F.col(seq_col)).alias("text")).where(F.length("text") >= span)
+    counts = written(rows.mapInArrow(lambda it: _mer_counts(it, span, mer), "mer bigint, windows bigint").groupBy("mer").agg(F.sum("windows").alias("n")).where(F.col("n") >= HOT_LEAST), "mers")
+    total = rows.agg(F.sum(F.length("text") - span + 1)).scalar()
+    return [r["mer"] for r in counts.where(F.col("n") >= HOT_SHARE * total).select("mer").collect()]
+
+
 def _packed(letters: np.ndarray) -> np.ndarray:
     """Three letters in two bytes; the length is a multiple of three."""
     x = (letters.astype(np.uint16) - 65).reshape(-1, 3)
@@ -86,10 +129,10 @@ def _gathered(data: np.ndarray, first: np.ndarray, letters: np.ndarray) -> np.nd
     return data[np.minimum(at, len(data) - 1)]
 
 
-def _spread_windows(batches: Iterator[pa.RecordBatch], span: int, mer: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _spread_windows(batches: Iterator[pa.RecordBatch], span: int, mer: int, buckets: int, hot: list[int]) -> Iterator[pa.RecordBatch]:
     """(bucket, payload) rows for windows that go on, and (id, first, windows) rows for runs of windows shared within the batch."""
     names = ["bucket", "payload", "id", "first", "windows"]
-    reach = span - mer + 1
+    hot_ones = np.sort(np.array(hot, np.int64)).view(np.uint64)
     for batch in batches:
         all_data, offsets = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
@@ -99,26 +142,21 @@ def _spread_windows(batches: Iterator[pa.RecordBatch], span: int, mer: int, buck
             begin = np.cumsum(size) - size
             at = spread(begin, counts)
             owner, place = np.repeat(ids[row], counts), spread(start, counts)
-            shared, keep = _repeats(data, at, owner, span)
+            key, proof = _hashes(data, at, span)
+            shared, keep = _repeats(key, proof, owner)
             first, length = _runs(owner[shared], place[shared])
             null = pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())
             yield pa.RecordBatch.from_arrays([*null, pa.array(owner[shared][first]), pa.array(place[shared][first]), pa.array(length)], names)
-            low = rolling(_letters(data), mer, MER)
-            low = low ^ (low >> np.uint64(29))
-            low = (low * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(~((1 << 20) - 1) & (1 << 64) - 1) | np.arange(len(low), dtype=np.uint64)
-            have = 1
-            while have < reach:
-                step = min(have, reach - have)
-                low = np.minimum(low[:-step], low[step:])
-                have += step
-            low = low[at][keep]
-            at, owner, place = at[keep], owner[keep], place[keep]
+            low = _smallest_mers(data, span, mer)[at][keep]
+            at, owner, place, key = at[keep], owner[keep], place[keep], key[keep]
             if not len(at):
                 continue
-            cut = np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]
+            alone = np.isin(low >> np.uint64(20), hot_ones)
+            cut = np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | alone[1:]]
             first = np.flatnonzero(cut)
             windows = np.diff(np.r_[first, len(at)])
-            bucket = ((low[first] >> np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+            name = np.where(alone[first], key[first] ^ key[first] >> np.uint64(31), low[first] >> np.uint64(20))
+            bucket = (name * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             first, windows, bucket = first[order], windows[order], bucket[order]
             letters = windows + span - 1
@@ -147,19 +185,39 @@ def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return who, where, windows, np.frombuffer(payload, np.uint16, texts, at + n)
 
 
-def _shared_runs(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket: counts the windows of each bucket by hash and gives the runs of those in more than one record; runs already found pass."""
-    held, bucket = [], -1
+def _groups(payloads: list[bytes], most: int) -> list[list[bytes]]:
+    """The payloads in groups of about `most` windows."""
+    n = np.cumsum([int(_read(x)[2].sum()) for x in payloads])
+    return [[payloads[i] for i in k] for k in np.split(np.arange(len(payloads)), np.flatnonzero(np.diff(n // most)) + 1)]
 
-    def done() -> Iterator[pa.RecordBatch]:
-        who, where, windows, text = (np.concatenate(x) for x in zip(*map(_read, held), strict=True))
+
+def _windows_of(groups: list[list[bytes]], span: int, turn: int) -> tuple[np.ndarray, ...]:
+    """key, proof, owner and place of the windows whose hash falls into this turn; there are as many turns as groups."""
+    out = []
+    for group in groups:
+        who, where, windows, text = (np.concatenate(x) for x in zip(*map(_read, group), strict=True))
         full = -(-(windows + span - 1) // 3) * 3
-        begin = np.cumsum(full) - full
-        owner, place = np.repeat(who, windows), spread(where, windows)
-        shared, _ = _repeats(_unpacked(text), spread(begin, windows), owner, span)
-        owner, place = owner[shared], place[shared]
-        first, length = _runs(owner, place)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(place[first]), pa.array(length)], ["id", "first", "windows"])
+        found = (*_hashes(_unpacked(text), spread(np.cumsum(full) - full, windows), span), np.repeat(who, windows), spread(where, windows))
+        mine = slice(None) if len(groups) == 1 else (found[0] >> np.uint64(7)) % np.uint64(len(groups)) == np.uint64(turn)
+        out.append([x[mine] for x in found])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _shared_runs(batches: Iterator[pa.RecordBatch], span: int, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Rows in order of bucket: counts the windows of each bucket by hash, in turns of about `most`, and gives the runs of those in more than one record; runs already found pass."""
+    held: list[bytes] = []
+    bucket = -1
+
+    def done() -> Iterator[pa.RecordBatch]:
+        groups = _groups(held, most)
+        for turn in range(len(groups)):
+            key, proof, owner, place = _windows_of(groups, span, turn)
+            if not len(key):
+                continue
+            shared, _ = _repeats(key, proof, owner)
+            owner, place = owner[shared], place[shared]
+            first, length = _runs(owner, place)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(place[first]), pa.array(length)], ["id", "first", "windows"])
 
     for batch in batches:
         ready = batch.filter(batch.column(0).is_null())
@@ -177,15 +235,15 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Re
         yield from done()
 
 
-def shared_windows(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 13, buckets_a_task: int = 8) -> DataFrame:
+def shared_windows(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 13, buckets_a_task: int = 8, most: int = HELD) -> DataFrame:
     """id, first, windows: runs of windows of a record that also stand in a record with another id (runs may overlap or touch)."""
     if not 1 <= mer <= span <= 255:
         raise ValueError("need 1 <= mer <= span <= 255")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks, hot = tasks_for(df), hot_mers(df, id_col, seq_col, span, mer)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), residues(F.col(seq_col)).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= span))
-    sent = rows.mapInArrow(lambda it: _spread_windows(it, span, mer, tasks * buckets_a_task), "bucket int, payload binary, id bigint, first bigint, windows bigint")
+    sent = rows.mapInArrow(lambda it: _spread_windows(it, span, mer, tasks * buckets_a_task, hot), "bucket int, payload binary, id bigint, first bigint, windows bigint")
     spread_out = sent.repartition(tasks, F.coalesce("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int"))).sortWithinPartitions("bucket")
-    return spread_out.mapInArrow(lambda it: _shared_runs(it, span), "id bigint, first bigint, windows bigint")
+    return spread_out.mapInArrow(lambda it: _shared_runs(it, span, most), "id bigint, first bigint, windows bigint")
 
 
 def shared_spans(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 13) -> DataFrame:
