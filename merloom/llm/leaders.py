@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from merloom.storage import written
 
+#: Candidates that are broadcast at most; more are joined by a shuffle.
+CANDIDATES = 100_000
+
 
 def _local(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The sums of one node, by value. A node that meets more than `most` values sends what it has and goes on as another node."""
@@ -45,18 +48,19 @@ def local_sums(df: DataFrame, value_col: str, count_col: str | None = None, most
     return written(rows.mapInArrow(lambda it: _local(it, most), "value string, n bigint, node bigint"), "local")
 
 
-def heavy_values(df: DataFrame, value_col: str = "mer", count_col: str | None = "cnt", share: float | None = None, k: int | None = None) -> DataFrame:
+def heavy_values(df: DataFrame, value_col: str = "mer", count_col: str | None = "cnt", share: float | None = None, k: int | None = None, most: int = 1_000_000, broadcast_rows: int = CANDIDATES) -> DataFrame:
     """value, total: all values with at least `share` of the sum of all counts, or the `k` values with the largest totals (ties by value).
 
     Case is ignored (values come out in upper case). Phase one: every node sums its rows and sends its k leaders; the
     k-th largest sum of these is a lower bound (with `share` the bound is that share of the sum). Phase two: every node
     sends the values above its share of the bound; only these can reach it. Phase three: their totals are fetched from
-    all nodes and compared exactly. An empty table gives no rows. At most nodes / share candidates exist, so with
-    `share` their table is bounded; with `k` it is broadcast only while Spark finds it small.
+    all nodes and compared exactly. An empty table gives no rows. Candidates are counted: up to `broadcast_rows` of them
+    are broadcast, more are joined by a shuffle, in which a value has no more rows than there are nodes. A node holds at
+    most about `most` values.
     """
     if (share is None) == (k is None):
         raise ValueError("give either share or k")
-    local = local_sums(df, value_col, count_col)
+    local = local_sums(df, value_col, count_col, most)
     facts = local.agg(F.sum("n").alias("all"), F.count_distinct("node").alias("nodes")).first()
     if not facts["nodes"] or not facts["all"]:
         return local.select("value", F.col("n").alias("total")).limit(0)
@@ -70,6 +74,7 @@ def heavy_values(df: DataFrame, value_col: str = "mer", count_col: str | None =
         top = leaders.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("least"), F.count("*").alias("have")).first()
         bound = top["least"] if top["have"] == k else 0
     # a value whose sum on every node is below bound / nodes has a total below the bound
-    fetched = local.where(F.col("n") >= bound / facts["nodes"]).select("value").distinct()
-    totals = local.join(F.broadcast(fetched) if share is not None else fetched, "value", "left_semi").groupBy("value").agg(F.sum("n").alias("total"))
+    fetched = written(local.where(F.col("n") >= bound / facts["nodes"]).select("value").distinct(), "candidates")
+    few = fetched.count() <= broadcast_rows
+    totals = local.join(F.broadcast(fetched) if few else fetched.hint("shuffle_hash"), "value", "left_semi").groupBy("value").agg(F.sum("n").alias("total"))
     return totals.where(F.col("total") >= bound) if share is not None else totals.orderBy(F.desc("total"), "value").limit(k)

@@ -80,9 +80,17 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_t(spark, d, "documents"), wanted).withColumnRenamed("id", "doc_id")
 
 
+_networks: dict[tuple, language.Network] = {}
+
+
 def _network(spark: SparkSession, d: str) -> tuple[DataFrame, language.Network]:
-    documents = _t(spark, d, "documents")
-    return documents, language.fitted(documents, spark.read.parquet(f"{d}/lang_samples.parquet"))
+    """The documents and the network trained on them; trained once for the same files in one application."""
+    documents, samples = _t(spark, d, "documents"), spark.read.parquet(f"{d}/lang_samples.parquet")
+    key = (spark.sparkContext.applicationId, *sorted(documents.inputFiles()), *sorted(samples.inputFiles()), documents.count())
+    if key not in _networks:
+        _networks.clear()
+        _networks[key] = language.fitted(documents, samples)
+    return documents, _networks[key]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from merloom.functions.residues import residues
 from merloom.storage import written
 
+#: Requests at most; their tables are broadcast.
+REQUESTS = 10_000
 #: Clade codes share this many bins; with the bins of the other features the grid has at most 512 * 16 * 4 * 4 cells.
 CLADE_BINS, LENGTH_BINS, SHARE_BINS = 512, 16, 4
 
@@ -85,12 +87,16 @@ def varied_subsets(df: DataFrame, requests: DataFrame, id_col: str = "ord", name
     for more than there are distinct texts gets all of these. Null names have the clade ''; rows without an id or with
     fewer than `least` residues are never chosen. With `whole` each row with an id can be chosen: copies of a text have
     later ranks, short and empty texts a cell of their own, and a request gives as many records as it asks for or there are.
+    More than REQUESTS different requests are an error.
     """
     points = written(grid(df, id_col, name_col, seq_col, least, whole), "grid")
     cells = written(numbered_cells(points), "cells")
     by_size = Window.orderBy("size", "cell_no")
     steps = cells.select("size", (F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(by_size) + 1).alias("open"), (F.sum("size").over(by_size) - F.col("size")).alias("closed"))
-    wanted = requests.select(F.col(request_col).alias("request_id"), F.col(amount_col).cast("bigint").alias("amount")).where("amount >= 1").distinct()
+    wanted = requests.select(F.col(request_col).alias("request_id"), F.col(amount_col).cast("bigint").alias("amount")).where("amount >= 1").distinct().limit(REQUESTS + 1)
+    wanted = written(wanted, "requests")
+    if wanted.count() > REQUESTS:
+        raise ValueError(f"more than {REQUESTS:,} requests")
     # with r full rounds, the cells of fewer than r records give all they have and the open ones r each
     step = F.min(F.when(F.col("size").isNotNull(), F.struct("size", "closed", "open")))
     last = wanted.join(F.broadcast(steps), F.col("closed") + F.col("open") * F.col("size") >= F.col("amount"), "left").groupBy("request_id", "amount").agg(step.alias("s"))

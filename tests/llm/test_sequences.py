@@ -57,7 +57,7 @@ def _similar(data):
 def test_near_duplicates(spark, node_rows):
     data = _table()
     links, members = near_dup.near_duplicates(_frame(spark, data), node_rows=node_rows, block_rows=3)
-    got = [tuple(r) for r in near_dup.similar_rows(links, members).collect()]
+    got = [tuple(r) for r in near_dup.similar_rows(links, members, 20 if node_rows == 2 else near_dup.HOT_PAIRS).collect()]
     want = _similar(data)
     assert len(got) == len(set(got)) and set(got) <= want
     assert len(got) >= 0.97 * len(want)
@@ -195,7 +195,7 @@ def test_shared_spans_of_parts(spark, monkeypatch):
     long = _text(rng, 2000)
     data = [(1, "a", long, ""), (2, "b", long[250:900] + _text(rng, 50), ""), (3, "c", _text(rng, 400) + long[1500:1540], ""), (4, "d", long, ""), (5, "e", "A" * 700, ""), (6, "f", "A" * 24, "")]
     batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in data]), pa.array([d[2] for d in data])], ["id", "text"])
-    sent = pa.Table.from_batches(list(spans._spread_windows(iter([batch]), 25, 13, 7))).sort_by("bucket").combine_chunks()
+    sent = pa.Table.from_batches(list(spans._spread_windows(iter([batch]), 25, 13, 7, []))).sort_by("bucket").combine_chunks()
     covered = {}
     for b in spans._shared_runs(iter(sent.to_batches()), 25):
         for i, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -206,7 +206,8 @@ def test_shared_spans_of_parts(spark, monkeypatch):
     assert covered == want
 
 
-def test_shared_spans_of_repeats_in_one_record(monkeypatch):
+@pytest.mark.parametrize("hot", [False, True])
+def test_shared_spans_of_repeats_in_one_record(monkeypatch, hot):
     """A text twice in one record, or in two pieces of it, that other pieces hold too: all its places are shared."""
     monkeypatch.setattr(spans, "PIECE", 300)
     rng = random.Random(8)
@@ -217,9 +218,10 @@ def test_shared_spans_of_repeats_in_one_record(monkeypatch):
         batches = [pa.RecordBatch.from_arrays([pa.array([d[0]]), pa.array([_residues(d[2])])], ["id", "text"]) for d in order]
         batches += [pa.RecordBatch.from_arrays([pa.array([d[0] for d in order]), pa.array([_residues(d[2]) for d in order])], ["id", "text"])]
         for sent in (batches[:-1], batches[-1:]):
-            table = pa.Table.from_batches(list(spans._spread_windows(iter(sent), 25, 13, 7))).sort_by("bucket").combine_chunks()
+            mers = [m for b in spans._mer_counts(iter([x.select(["text"]) for x in sent]), 25, 13) for m in b.column(0).to_pylist()[:: 2]] if hot else []
+            table = pa.Table.from_batches(list(spans._spread_windows(iter(sent), 25, 13, 7, mers))).sort_by("bucket").combine_chunks()
             got = {}
-            for b in spans._shared_runs(iter(table.to_batches()), 25):
+            for b in spans._shared_runs(iter(table.to_batches()), 25, 30 if hot else spans.HELD):
                 for i, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     got.setdefault(i, set()).update(range(first, first + n + 24))
             want = {}
@@ -228,6 +230,30 @@ def test_shared_spans_of_repeats_in_one_record(monkeypatch):
             assert got == want
 
 
+def test_a_mer_in_a_third_of_the_records(spark):
+    """The mer is known as hot, its windows go to many buckets, and nothing that is shared is lost."""
+    rng = random.Random(9)
+    mer = _text(rng, 13)
+    data = []
+    for i in range(3000):
+        s = _text(rng, 60)
+        data.append((i, "n", s[:30] + mer + s[30:] if i % 3 == 0 else s, ""))
+    data += [(3000 + i, "n", data[3 * i][2][5:65], "") for i in range(40)]
+    df = _frame(spark, data)
+    hot = spans.hot_mers(df, "ord", "seq", 25, 13)
+    assert 1 <= len(hot) < 50
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in data]), pa.array([d[2] for d in data])], ["id", "text"])
+    most = []
+    for known in ([], hot):
+        size = {}
+        for b in spans._spread_windows(iter([batch]), 25, 13, 64, known):
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                size[k] = size.get(k, 0) + len(x or b"")
+        most.append(max(v for k, v in size.items() if k is not None) / sum(size.values()))
+    assert most[0] > 0.05 and most[1] < 0.03
+    assert rows(spans.shared_spans(df)) == _shared(data)
+
+
 def test_shared_parts(spark):
     data = _table()
     got = {r["id"]: (r["residues"], r["shared"]) for r in spans.shared_parts(_frame(spark, data)).collect()}
@@ -252,6 +278,17 @@ def test_heavy_values(spark):
     assert leaders.heavy_values(df.limit(0), k=3).count() == 0
 
 
+def test_heavy_values_by_nodes(spark):
+    """The same result with few and with many nodes, and when candidates are joined by a shuffle."""
+    rng = random.Random(6)
+    data = [(f"v{int(200 * rng.random() ** 4)}", rng.randrange(9)) for _ in range(2000)]
+    df = spark.createDataFrame(data, "mer string, cnt bigint")
+    want = rows(leaders.heavy_values(df.coalesce(1), share=0.01))
+    assert len(want) > 5
+    assert rows(leaders.heavy_values(df.repartition(64), share=0.01, broadcast_rows=0)) == want
+    assert rows(leaders.heavy_values(df.repartition(8), k=len(want), broadcast_rows=0)) == want
+
+
 def test_varied_subsets(spark):
     rng = random.Random(2)
     data = [(i, f"{'BBBBBBCD'[i % 8]}{i % 3}.X.{i}", _text(rng, rng.randrange(20, 200)), "") for i in range(120)] + [(500, "B.x", "AC", ""), (501, None, None, ""), (502, None, "A" * 40, ""), (503, "", "A" * 40, "")]
