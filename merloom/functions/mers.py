@@ -34,8 +34,11 @@ def mer_set(seq: Column, e: int, rmdash: bool = True, rmx: bool = True) -> Colum
 
 def tiled_mers(seq: Column, k: int, stride: int = 1) -> Column:
     """Distinct windows at every stride-th place; the last may be shorter than k. No gap or bad character is looked at."""
+    tiles = max(1, CHUNK // stride)
     count = F.ceil(1 + (F.length(seq) - k) / stride).cast("int")
-    return F.array_distinct(F.transform(_range(count), lambda n: F.substring(seq, n * stride + 1, F.lit(k))))
+    chunks = F.transform(_range(count, tiles), lambda n: F.substring(seq, n * stride + 1, F.lit((tiles - 1) * stride + k)))
+    inner = F.transform(chunks, lambda c: F.transform(_range(F.ceil(1 + (F.length(c) - k) / stride).cast("int")), lambda n: F.substring(c, n * stride + 1, F.lit(k))))
+    return F.array_distinct(F.flatten(inner))
 
 
 def mers_to_text(path: Column) -> Column:
@@ -55,30 +58,43 @@ def cyclic_key(mer: Column, k: Column | int, size: int) -> Column:
     return F.substring(F.concat(mer, mer), (F.lit(k) if isinstance(k, int) else k) + 1, F.lit(size))
 
 
+def characters(seq: Column) -> Column:
+    """The characters of a text; an empty text has none."""
+    return F.filter(F.split(seq, ""), lambda c: c != "")
+
+
 def residue_places(seq: Column) -> Column:
     """Places (from 0) of the characters that are no gap."""
-    return F.filter(_range(F.length(seq)), lambda p: F.substring(seq, p + 1, F.lit(1)) != GAP)
+    return F.array_compact(F.transform(characters(seq), lambda c, p: F.when(c != GAP, p)))
 
 
 def places_of(seq: Column, c: str) -> Column:
     """Places (from 0) of a character."""
-    return F.filter(_range(F.length(seq)), lambda p: F.substring(seq, p + 1, F.lit(1)) == c)
+    return F.array_compact(F.transform(characters(seq), lambda x, p: F.when(x == c, p)))
+
 
+def gapped_rows(df: DataFrame, e: int, keep: list[str], gapped: bool = False) -> DataFrame:
+    """One row for each window of e residues of each row, with the columns `keep`: pos (its first column), mer (its residues) and with `gapped` the text between first and last residue with its gaps.
 
-def gapped_mers(seq: Column, e: int) -> Column:
-    """(pos, mer, gapped) of each window of e residues: its first column, its residues, and the text between first and last residue with gaps."""
-    at = residue_places(seq)
-    bare = mers(seq, e, True, False)
-    count = F.greatest(F.size(at) - e + 1, F.lit(0))
-    # zipped, so that the places are found once a row
-    ends = F.zip_with(F.slice(at, 1, count), F.slice(at, e, count), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.zip_with(ends, bare, lambda p, m: F.struct(p["a"].alias("pos"), m.alias("mer"), F.substring(seq, p["a"] + 1, p["b"] - p["a"] + 1).alias("gapped")))
+    Characters and places are worked out once a row, and no text is cut at a far place.
+    """
+    rows = once(df.select(*dict.fromkeys(keep), characters(F.col("seq")).alias("_ch")), "_ch")
+    at = F.array_compact(F.transform("_ch", lambda c, p: F.when(c != GAP, p)))
+    rows = once(rows.select(*keep, "_ch", at.alias("_at"), F.array_join(F.filter("_ch", lambda c: c != GAP), "").alias("_bare")), "_at")
+    count = F.greatest(F.size("_at") - e + 1, F.lit(0))
+    bare = mers(F.col("_bare"), e, False, False)
+    if not gapped:
+        found = F.zip_with(F.slice("_at", F.lit(1), count), bare, lambda a, m: F.struct(a.alias("pos"), m.alias("mer")))
+    else:
+        ends = F.zip_with(F.slice("_at", F.lit(1), count), F.slice("_at", F.lit(e), count), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        found = F.zip_with(ends, bare, lambda p, m: F.struct(p["a"].alias("pos"), m.alias("mer"), F.array_join(F.slice("_ch", p["a"] + 1, p["b"] - p["a"] + 1), "").alias("gapped")))
+    return rows.select(*keep, F.explode(found).alias("_g")).select(*keep, "_g.*")
 
 
 def relative_name(master: Column, mutant: Column, match: str = ".") -> Column:
     """The mutant with a sign for each character that equals the master's; as long as the shorter one."""
-    n = F.least(F.length(master), F.length(mutant))
-    return F.array_join(F.transform(_range(n), lambda p: F.when(F.substring(master, p + 1, F.lit(1)) == F.substring(mutant, p + 1, F.lit(1)), match).otherwise(F.substring(mutant, p + 1, F.lit(1)))), "")
+    signs = F.zip_with(characters(master), characters(mutant), lambda a, b: F.when(a.isNull() | b.isNull(), "").when(a == b, match).otherwise(b))
+    return F.array_join(signs, "")
 
 
 def repeated_mers(seq: Column, e: int) -> Column:

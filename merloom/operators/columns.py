@@ -48,9 +48,10 @@ def gap_columns(df: DataFrame) -> DataFrame:
 
 def _kept(df: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows with only the places in `keep` (their number is the length of an alignment, not of the data)."""
-    places = sorted(r["pos"] for r in keep.distinct().collect())
-    chosen = F.filter(F.array(*map(F.lit, places)).cast("array<int>"), lambda p: p < F.length("seq"))
-    return once(df, "seq").withColumn("seq", F.array_join(F.transform(chosen, lambda p: F.substring("seq", p + 1, F.lit(1))), ""))
+    places = keep.distinct().agg(F.array_sort(F.collect_list("pos"))).scalar()
+    rows = once(once(df.withColumn("_ch", F.split("seq", "")).withColumn("_keep", places), "_ch"), "_keep")
+    chosen = F.filter("_keep", lambda p: p < F.length("seq"))
+    return rows.withColumn("seq", F.array_join(F.transform(chosen, lambda p: F.get("_ch", p)), "")).drop("_ch", "_keep")
 
 
 def without_gap_columns(df: DataFrame) -> DataFrame:

@@ -11,9 +11,14 @@ from merloom.operators.offby import near_mers
 from merloom.operators.tally import mer_tally, place_tally, weighted
 
 
+#: Antigens at most, as they are numbered in one task.
+ANTIGENS = 1_000_000
+
+
 def antigen_numbers(antigens: DataFrame) -> DataFrame:
-    """k (1, 2, ... by ord), name, seq. Antigens are few: this window runs in one task."""
-    return antigens.select(F.row_number().over(Window.orderBy("ord")).alias("k"), "name", "seq")
+    """k (1, 2, ... by ord), name, seq. Antigens are few: this window runs in one task, and more than ANTIGENS are an error."""
+    k = F.row_number().over(Window.orderBy("ord"))
+    return antigens.select(k.alias("k"), "name", "seq").withColumn("k", F.when(F.col("k") > ANTIGENS, F.raise_error("too many antigens").cast("int")).otherwise(F.col("k")))
 
 
 def first_antigen(antigens: DataFrame, e: int) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merloom.operators.contract import contracted, edges_of, inner_steps, steps_from
 from merloom.operators.tally import end_mers
-from merloom.storage import written
+from merloom.storage import forget, written
 
 #: The names of the nodes before all first and after all last mers; no mer looks like them.
 BEGIN, END = "==BEGIN==", "===END==="
-#: Rounds between two written tables in a fixpoint loop.
-CUT = 4
+#: Rounds of trimming after which chains are contracted anew.
+TRIMMED = 8
 
 
 def nodes_above(tally: DataFrame, low: float = 0) -> DataFrame:
@@ -75,19 +76,29 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame, near: str, far: str, stop: str) -> DataFrame:
-    """Edges left when nodes that are never a `near` end (but for `stop`) go, again and again."""
-    have = edges.count()
+    """Edges left when nodes that are never a `near` end (but for `stop`) go, again and again. Whole chains go at once; what was branched before is contracted again after some rounds."""
     while True:
-        alive = edges.select(F.col(near).alias(far)).distinct()
-        edges = written(edges.join(alive, far, "left_semi").unionByName(edges.where(F.col(far) == stop).join(alive, far, "left_anti")).select("src", "dst"), "trim")
-        left = edges.count()
-        if left == have:
+        chains = contracted(edges)
+        links, rounds, first = chains.links, 0, True
+        have = links.count()
+        while rounds < TRIMMED:
+            alive = links.select(F.col(near).alias(far)).distinct()
+            new = written(links.join(alive, far, "left_semi").unionByName(links.where(F.col(far) == stop).join(alive, far, "left_anti")).select(*links.columns), "trim")
+            if not first:
+                forget(links)
+            links, left, first, rounds = new, new.count(), False, rounds + 1
+            if left == have:
+                break
+            have = left
+        # closed chains keep themselves alive
+        ring = edges.join(chains.rings.select(F.col("mer").alias("src")), "src", "left_semi").select(*edges.columns)
+        edges = written(edges_of(edges, chains, links).unionByName(ring), "trimmed")
+        if rounds < TRIMMED:
             return edges
-        have = left
 
 
 def without_dead_ends(edges: DataFrame) -> DataFrame:
-    """Edges on the way to END: nodes without a successor go, again and again. One round looks at all edges; there are as many rounds as the longest dead branch has nodes."""
+    """Edges on the way to END: nodes without a successor go, again and again."""
     return _trimmed(edges, "src", "dst", END)
 
 
@@ -96,18 +107,17 @@ def without_dead_begins(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, root: str = BEGIN) -> DataFrame:
-    """mer, ppos: the least number of steps from the root to each node it reaches."""
-    reached = edges.sparkSession.range(1).select(F.lit(root).alias("mer"), F.lit(0).alias("ppos"))
-    front, step = reached, 0
-    while True:
-        step += 1
-        new = edges.join(front.select(F.col("mer").alias("src")), "src", "left_semi").select(F.col("dst").alias("mer")).distinct().join(reached, "mer", "left_anti").withColumn("ppos", F.lit(step))
-        front = written(new, "front")
-        if front.isEmpty():
-            return reached
-        reached = reached.unionByName(front)
-        if step % CUT == 0:
-            reached = written(reached, "reached")
+    """mer, ppos: the least number of steps from the root to each node it reaches. Searched over the links between branches; as many rounds as the best ways have links."""
+    start = edges.sparkSession.range(1).select(F.lit(root).alias("mer"))
+    chains = contracted(edges, start)
+    values = steps_from(chains.links, start.withColumn("ppos", F.lit(0)))
+    return written(values.unionByName(inner_steps(chains, values)).select("mer", F.col("ppos").cast("int").alias("ppos")), "levels")
+
+
+def forward(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """The edges that lead up a level, and those to END: an acyclic graph in which each node is reached as early as before."""
+    a, b = placed.select(F.col("mer").alias("src"), F.col("ppos").alias("_a")), placed.select(F.col("mer").alias("dst"), F.col("ppos").alias("_b"))
+    return edges.join(a, "src").join(b, "dst").where((F.col("_b") > F.col("_a")) | (F.col("dst") == END)).select("src", "dst")
 
 
 def reaches_end(edges: DataFrame) -> bool:
@@ -139,8 +149,6 @@ def _flag(c: Column) -> Column:
     return c.cast("int")
 
 
-
-
 def _costs() -> dict[str, Column]:
     ca, cb = F.col("ca"), F.col("cb")
     spouse, sibling = _flag(F.col("nin_b") == 1), _flag(F.col("nout_a") == 1)

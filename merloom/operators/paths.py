@@ -5,60 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merloom.operators.graph import BEGIN, CUT, END
-from merloom.storage import written
+from merloom.operators.contract import CUT, Chains, contracted, followed
+from merloom.operators.graph import BEGIN, END
+from merloom.storage import forget, written
 
 
-def best_values(nodes: DataFrame, edges: DataFrame, widest: bool = False) -> DataFrame:
+def best_values(nodes: DataFrame, edges: DataFrame, widest: bool = False, chains: Chains | None = None) -> DataFrame:
     """mer, value, pre: the largest sum of counts on a way from BEGIN (with `widest` the largest least count), and the smallest of the best predecessors.
 
-    Rounds of relaxation over the edges whose source changed; there are as many rounds as the longest way has nodes. A
-    cycle raises once a round exceeds the number of nodes.
+    Rounds of relaxation over the links between branches whose source changed; there are as many rounds as the longest
+    way has links. A cycle raises once a round exceeds the number of nodes between links. `chains` is contracted(edges),
+    if that is at hand.
     """
+    spark = edges.sparkSession
+    chains = contracted(edges) if chains is None else chains
     start = F.lit(999_999 if widest else 0).cast("double")
     counts = nodes.select("mer", F.col("cnt").cast("double").alias("cnt"))
-    values = counts.where(F.col("mer") == BEGIN).select("mer", start.alias("value"), F.lit(None).cast("string").alias("pre"))
-    changed, rounds, most = values, 0, nodes.count()
+    inside = chains.members.join(counts, "mer")
+    gains = inside.groupBy("chain").agg((F.min("cnt") if widest else F.sum("cnt")).alias("gain"))
+    ways = chains.links.join(gains, "chain", "left").join(counts.select(F.col("mer").alias("dst"), "cnt"), "dst")
+    if widest:
+        own = F.when(F.col("dst") == END, F.coalesce("gain", start)).otherwise(F.least("gain", "cnt"))
+        reached = F.least("value", "own")
+    else:
+        own = F.coalesce("gain", F.lit(0.0)) + F.col("cnt")
+        reached = F.col("value") + F.col("own")
+    ways = written(ways.select("src", "dst", "last", "chain", own.alias("own")), "ways")
+    values = changed = written(spark.range(1).select(F.lit(BEGIN).alias("mer"), start.alias("value"), F.lit(None).cast("string").alias("pre")), "values")
+    held, rounds, most = [values], 0, ways.select("dst").distinct().count() + 1
     while True:
         rounds += 1
         if rounds > most + 1:
             raise ValueError("the graph has a cycle")
         # of equal predecessors the smallest name
-        offers = edges.join(changed.select(F.col("mer").alias("src"), "value"), "src").groupBy(F.col("dst").alias("mer")).agg(F.min(F.struct((-F.col("value")).alias("n"), "src")).alias("x"))
-        first = offers.select("mer", (-F.col("x.n")).alias("v"), F.col("x.src").alias("p"))
-        gain = first.join(counts, "mer").select("mer", (F.when(F.col("mer") == END, F.col("v")).otherwise(F.least("v", "cnt")) if widest else F.col("v") + F.col("cnt")).alias("new"), "p")
+        offers = ways.join(changed.select(F.col("mer").alias("src"), "value"), "src").groupBy(F.col("dst").alias("mer")).agg(F.min(F.struct((-reached).alias("n"), "last")).alias("x"))
+        gain = offers.select("mer", (-F.col("x.n")).alias("new"), F.col("x.last").alias("p"))
         old = values.select("mer", F.col("value").alias("old"), F.col("pre").alias("old_pre"))
         better = gain.join(old, "mer", "left").where("old is null or new > old or (new = old and p < old_pre)")
         better = written(better.select("mer", F.col("new").alias("value"), F.col("p").alias("pre"), (F.col("old").isNull() | (F.col("new") > F.col("old"))).alias("up")), "better")
+        held.append(better)
         if better.isEmpty():
-            return values
+            break
         values = values.join(better.select("mer"), "mer", "left_anti").unionByName(better.drop("up"))
-        values = written(values, "values") if rounds % CUT == 0 else values
+        if rounds % CUT == 0:
+            values = written(values, "values")
+            forget(*held[:-1])
+            held = [better, values]
         changed = better.where("up").select("mer", "value")
-
-
-def best_path(nodes: DataFrame, edges: DataFrame) -> tuple[float, list[str]]:
-    """The score of a best way, and its mers: from END back, always the smallest best predecessor. One way is as long as a sequence, so it is read step by step."""
-    values = best_values(nodes, edges)
-    pairs = values.select("mer", "pre")
+    # nodes within chains: what their source has, and the counts up to them
+    so_far = Window.partitionBy("chain").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    along = inside.select("chain", "mer", "off", (F.min("cnt") if widest else F.sum("cnt")).over(so_far).alias("own"), F.lag("mer").over(Window.partitionBy("chain").orderBy("off")).alias("before"))
+    heads = chains.links.where("chain is not null").join(values.select(F.col("mer").alias("src"), "value"), "src").select("chain", "src", "value")
+    within = along.join(heads, "chain").select("mer", reached.alias("value"), F.coalesce("before", "src").alias("pre"))
+    found = written(values.unionByName(within), "values")
+    forget(ways, *held)
+    return found
+
+
+def best_path(nodes: DataFrame, edges: DataFrame, chains: Chains | None = None) -> tuple[float, list[str]]:
+    """The score of a best way, and its mers: from END back, always the smallest best predecessor."""
+    values = best_values(nodes, edges, chains=chains)
     score = values.where(F.col("mer") == END).first()
     if score is None:
         raise ValueError("END can't be reached from BEGIN")
-    # the best way as a set: follow predecessors in batches of doubled jumps
-    path, here = [], score["pre"]
-    jumps = written(pairs.where("pre is not null").select("mer", F.col("pre").alias("p1")), "jumps")
-    hop = jumps
-    for k in range(2, 9):
-        hop = hop.join(jumps.select(F.col("mer").alias(f"p{k - 1}"), F.col("p1").alias(f"p{k}")), f"p{k - 1}", "left")
-    hop = written(hop, "hops")
-    while here is not None and here != BEGIN:
-        row = hop.where(F.col("mer") == here).first()
-        chain = [here, *(row[f"p{k}"] for k in range(1, 9))]
-        for m in chain[:-1]:
-            if m is None or m == BEGIN:
-                return score["value"], path[::-1]
-            path.append(m)
-        here = chain[-1]
+    path = followed(values.where("pre is not null").select("mer", F.col("pre").alias("to")), END, BEGIN)
+    forget(values)
     return score["value"], path[::-1]
 
 
@@ -67,34 +78,39 @@ def path_scores(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.join(paths.select("mer").distinct(), "mer", "left_semi").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("score"))
 
 
-def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[list[str]] | None = None, extra: int = 0) -> DataFrame:
-    """path_id, step, mer, gain: up to m ways; each is best for what the others leave uncovered.
+def _table(df: DataFrame, paths: list[list[str]]) -> DataFrame:
+    """mer: the distinct mers of paths, each as long as a sequence."""
+    return df.sparkSession.createDataFrame([(x,) for x in sorted({x for p in paths for x in p})], "mer string")
+
+
+def covered_score(nodes: DataFrame, paths: list[list[str]]) -> float:
+    """The sum of the counts of the nodes on the paths."""
+    return float(nodes.join(F.broadcast(_table(nodes, paths)), "mer", "left_semi").agg(F.sum("cnt")).first()[0] or 0)
 
-    While there are fewer than m a way is added if it gains; then the oldest is taken out and replaced if the new one
-    scores strictly more, for up to `extra` more turns or until m - 1 turns in a row bring nothing.
+
+def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[list[str]] | None = None, extra: int = 0, start: list[list[str]] | None = None) -> DataFrame:
+    """path_id, step, mer: up to m ways; each is best for what the others leave uncovered.
+
+    The fixed ways stay; those in `start` come next and may be replaced. While there are fewer than m a way is added if
+    it gains; then the oldest is taken out and replaced if the new one scores strictly more, for up to `extra` more turns
+    or until m - 1 turns in a row bring nothing.
     """
-    fixed = fixed or []
+    fixed, ways = fixed or [], list(start or [])
     if m <= len(fixed):
         raise ValueError("m must be above the number of fixed paths")
     counts = nodes.select("mer", F.col("cnt").cast("double").alias("cnt"))
-
-    def without(paths: list[list[str]]) -> DataFrame:
-        known = sorted({x for p in paths for x in p})
-        return counts.withColumn("cnt", F.when(F.col("mer").isin(*known), 0.0).otherwise(F.col("cnt"))) if known else counts
-
-    def total(paths: list[list[str]]) -> float:
-        known = sorted({x for p in paths for x in p})
-        return (counts.where(F.col("mer").isin(*known)).agg(F.sum("cnt")).first()[0] or 0.0) if known else 0.0
-
-    ways: list[list[str]] = []
-    idle, score = 0, total(fixed)
+    chains = contracted(edges)
+    ways = ways[: m - len(fixed)]
+    idle, score = 0, covered_score(counts, [*fixed, *ways])
     for _ in range(m - len(fixed) + extra):
         if idle and idle >= m - 1:
             break
         full = len(fixed) + len(ways) >= m
         out = ways.pop(0) if full else None
-        gain, path = best_path(without([*fixed, *ways]), edges)
-        new = total([*fixed, *ways, path])
+        known = F.broadcast(_table(counts, [*fixed, *ways]).withColumn("_known", F.lit(True)))
+        left = counts.join(known, "mer", "left").select("mer", F.when(F.col("_known"), 0.0).otherwise(F.col("cnt")).alias("cnt"))
+        _, path = best_path(left, edges, chains)
+        new = covered_score(counts, [*fixed, *ways, path])
         if new > score:
             ways.append(path)
             score, idle = new, 0

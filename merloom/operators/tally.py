@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merloom.functions.mers import BAD, GAP, exploded, gapped_mers, mers, residue_places
+from merloom.functions.mers import BAD, GAP, exploded, gapped_rows, mers, residue_places
 from merloom.functions.once import once
 
 
@@ -52,8 +52,8 @@ def end_mers(df: DataFrame, e: int) -> DataFrame:
 
 def place_tally(df: DataFrame, e: int, weight: Column | None = None) -> DataFrame:
     """pos, mer, cnt: the weight of the rows whose window of e residues begins at a column; mers with the bad character are left out."""
-    rows = once(df.select((weight if weight is not None else F.lit(1.0)).alias("w"), "seq"), "seq").select("w", F.explode(gapped_mers(F.col("seq"), e)).alias("g"))
-    return rows.where(~F.contains("g.mer", F.lit(BAD))).groupBy(F.col("g.pos").alias("pos"), F.col("g.mer").alias("mer")).agg(F.sum("w").alias("cnt"))
+    rows = gapped_rows(df.select((weight if weight is not None else F.lit(1.0)).alias("w"), "seq"), e, ["w"])
+    return rows.where(~F.contains("mer", F.lit(BAD))).groupBy("pos", "mer").agg(F.sum("w").alias("cnt"))
 
 
 def reference_sites(df: DataFrame) -> DataFrame:
@@ -71,8 +71,7 @@ def site_tally(df: DataFrame, e: int) -> DataFrame:
 
 def mer_places(df: DataFrame, e: int) -> DataFrame:
     """mer, positions: the sorted columns at which a mer begins in any row. A mer has at most as many as there are columns."""
-    rows = once(df.select("seq"), "seq").select(F.explode(gapped_mers(F.col("seq"), e)).alias("g"))
-    return rows.groupBy(F.col("g.mer").alias("mer")).agg(F.sort_array(F.collect_set("g.pos")).alias("positions"))
+    return gapped_rows(df, e, []).groupBy("mer").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
 def places_of_mers(places: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -82,8 +81,8 @@ def places_of_mers(places: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def gapped_places(df: DataFrame, e: int) -> DataFrame:
     """ord, gapped, pos: each window of e residues with its gaps; the last place if it occurs more than once in a row; the bad character is left out."""
-    rows = once(df.select("ord", "seq"), "seq").select("ord", F.explode(gapped_mers(F.col("seq"), e)).alias("g")).where(~F.contains("g.gapped", F.lit(BAD)))
-    return rows.groupBy("ord", F.col("g.gapped").alias("gapped")).agg(F.max("g.pos").alias("pos"))
+    rows = gapped_rows(df, e, ["ord"], gapped=True).where(~F.contains("gapped", F.lit(BAD)))
+    return rows.groupBy("ord", "gapped").agg(F.max("pos").alias("pos"))
 
 
 def length_stats(df: DataFrame) -> DataFrame:

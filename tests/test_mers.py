@@ -36,10 +36,19 @@ def test_tiles_end_with_a_short_one(spark):
 
 
 def test_gapped_windows(spark):
-    got = _one(spark, M.gapped_mers(F.col("s"), 3), s="A-B---CDEF")
-    assert [(g.pos, g.mer, g.gapped) for g in got] == [(0, "ABC", "A-B---C"), (2, "BCD", "B---CD"), (6, "CDE", "CDE"), (7, "DEF", "DEF")]
-    assert _one(spark, M.gapped_mers(F.col("s"), 3), s="A-B-------") == []
-    assert [g.pos for g in _one(spark, M.gapped_mers(F.col("s"), 3), s="-B---CDDEF")][0] == 1
+    df = spark.createDataFrame([(1, "A-B---CDEF"), (2, "A-B-------"), (3, "-B---CDDEF"), (4, ""), (5, None), (6, "--")], "ord bigint, seq string")
+    got = M.gapped_rows(df, 3, ["ord"], gapped=True).orderBy("ord", "pos").collect()
+    assert [tuple(r) for r in got if r.ord == 1] == [(1, 0, "ABC", "A-B---C"), (1, 2, "BCD", "B---CD"), (1, 6, "CDE", "CDE"), (1, 7, "DEF", "DEF")]
+    assert {r.ord for r in got} == {1, 3} and min(r.pos for r in got if r.ord == 3) == 1
+    assert rows(M.gapped_rows(df, 3, ["ord"])) == sorted(((r.ord, r.pos, r.mer) for r in got), key=repr)
+
+
+def test_long_texts_are_cut_in_chunks(spark):
+    text = "".join("ABCDEFGHIJKLM"[i * i % 13] for i in range(1500))
+    for k, stride in ((15, 1), (15, 7), (300, 200), (4, 3)):
+        n = max(0, -(-(len(text) - k) // stride) + 1)
+        assert _one(spark, M.tiled_mers(F.col("s"), k, stride), s=text) == list(dict.fromkeys(text[i * stride : i * stride + k] for i in range(n)))
+    assert _one(spark, M.residue_places(F.col("s")), s="-A-" * 400) == [3 * i + 1 for i in range(400)]
 
 
 def test_text_functions(spark):
@@ -104,7 +113,11 @@ def test_blocked_join_is_brute_force(spark):
     want = sorted((a, b) for a in texts[:9] for b in texts if sum(x != y for x, y in zip(a, b, strict=True)) <= 2)
     got = offby.near_mers(df, df.where(F.col("mer").isin(texts[:9])), 5, 2)
     assert sorted((r["mer"], r["near_mer"]) for r in got.collect()) == want
+    spread = offby.near_mers(df, df.where(F.col("mer").isin(texts[:9])), 5, 2, most=0, hot_pairs=10)
+    assert sorted((r["mer"], r["near_mer"]) for r in spread.collect()) == want
     assert offby.neighbours(df, df, 5, 1).where("mer = near_mer").count() == 0
+    with pytest.raises(ValueError, match="below e"):
+        offby.near_mers(df, df, 5, 5)
 
 
 def test_coverage_curves(spark):
