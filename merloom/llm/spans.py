@@ -4,8 +4,9 @@ Every window of `span` residues has a Rabin-Karp hash. Windows are brought toget
 (equal windows have equal smallest mers), as runs of neighbouring windows packed in one binary column for each batch
 and bucket, so that a window costs about four bytes in the shuffle instead of a row. Windows that several records
 of a batch hold are combined there: they are reported at once and go on for two records, so that other batches learn of it.
-Windows under a mer that a large part of the text has as its smallest go by their own hash instead, so no mer fills a
-bucket; a bucket that is still large is counted in several passes by hash, so that its memory is bounded.
+A mer that a large part of these windows has as its smallest is passed over for the next one (windows that hold no other
+mer go by their own hash), so no mer fills a bucket; a bucket that is still large is counted in several turns by hash, so
+that its memory is bounded.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from merloom.functions.residues import residues
 from merloom.llm.ragged import rolling, spread, text_bytes
-from merloom.storage import bytes_of, tasks_for, written
+from merloom.storage import bytes_of, forget, tasks_for, written
 
 #: Odd bases of the two Rabin-Karp hashes modulo 2**64, and of the mers.
 BASE, PROOF, MER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -28,7 +29,7 @@ BASE, PROOF, MER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 PIECE = 1 << 19
 #: Windows of a bucket that are counted at once.
 HELD = 1 << 20
-#: Share of the sampled windows from which on a mer is hot (so at most 1/HOT_SHARE are), windows that it has there at least, and bytes of the table that the sample stands for. The sample only settles where windows meet, not what comes out.
+#: Least share of the sampled windows from which on a mer is hot (half of a task's share, if that is more), windows that it has there at least, and bytes of the table that the sample stands for. The sample only settles where windows meet, not what comes out.
 HOT_SHARE, HOT_LEAST, SAMPLE_BYTES = 1 / 2000, 200, 4 << 20
 
 
@@ -80,11 +81,17 @@ def _repeats(key: np.ndarray, proof: np.ndarray, owner: np.ndarray) -> tuple[np.
     return shared, keep
 
 
-def _smallest_mers(data: np.ndarray, span: int, mer: int) -> np.ndarray:
-    """For each window of `span` bytes 44 bits of the smallest hash of a mer in it, and 20 bits of that mer's place; the first of equal ones."""
+#: Stands for the smallest mer of a window all of whose mers are hot.
+NONE = (1 << 44) - 1
+
+
+def _smallest_mers(data: np.ndarray, span: int, mer: int, hot: np.ndarray) -> np.ndarray:
+    """For each window of `span` bytes 44 bits of the smallest hash of a mer in it that is not hot, and 20 bits of that mer's place; the first of equal ones."""
     low = rolling(_letters(data), mer, MER)
     low = low ^ (low >> np.uint64(29))
     low = (low * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(~((1 << 20) - 1) & (1 << 64) - 1) | np.arange(len(low), dtype=np.uint64)
+    if len(hot):
+        low |= np.where(np.isin(low >> np.uint64(20), hot), np.uint64(NONE << 20), np.uint64(0))
     have, reach = 1, span - mer + 1
     while have < reach:
         step = min(have, reach - have)
@@ -94,22 +101,26 @@ def _smallest_mers(data: np.ndarray, span: int, mer: int) -> np.ndarray:
 
 
 def _mer_counts(batches: Iterator[pa.RecordBatch], span: int, mer: int) -> Iterator[pa.RecordBatch]:
-    """(mer, windows): how many windows of the batch have which smallest mer."""
+    """(mer, windows): how many windows of the batch (columns id, text) go on under which smallest mer."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
+        data, offsets = text_bytes(batch.column(1))
+        ids = batch.column(0).to_numpy()
         for row, start, size in _pieces(offsets, span):
-            at = spread(np.cumsum(size) - size, size - span + 1)
-            mers, n = np.unique(_smallest_mers(data[spread(offsets[row] + start, size)], span, mer)[at] >> np.uint64(20), return_counts=True)
+            letters, counts = data[spread(offsets[row] + start, size)], size - span + 1
+            at = spread(np.cumsum(size) - size, counts)
+            _, keep = _repeats(*_hashes(letters, at, span), np.repeat(ids[row], counts))
+            mers, n = np.unique(_smallest_mers(letters, span, mer, np.empty(0, np.uint64))[at][keep] >> np.uint64(20), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(mers.view(np.int64)), pa.array(n)], ["mer", "windows"])
 
 
-def hot_mers(df: DataFrame, id_col: str, seq_col: str, span: int, mer: int) -> list[int]:
-    """The smallest mers of at least HOT_SHARE (and HOT_LEAST) of the windows in a sample by hash of the id."""
-    part = max(1, round((bytes_of(df) or 0) / SAMPLE_BYTES))
-    rows = df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(part)) == 0).select(residues(F.col(seq_col)).alias("text")).where(F.length("text") >= span)
-    counts = written(rows.mapInArrow(lambda it: _mer_counts(it, span, mer), "mer bigint, windows bigint").groupBy("mer").agg(F.sum("windows").alias("n")).where(F.col("n") >= HOT_LEAST), "mers")
-    total = rows.agg(F.sum(F.length("text") - span + 1)).scalar()
-    return [r["mer"] for r in counts.where(F.col("n") >= HOT_SHARE * total).select("mer").collect()]
+def hot_mers(rows: DataFrame, part: int, share: float, span: int, mer: int) -> list[int]:
+    """The smallest mers of at least `share` (and HOT_LEAST) of the windows that go on, in every part-th row (id, text) by hash of the id; at most 1 / share."""
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
+    counts = written(some.mapInArrow(lambda it: _mer_counts(it, span, mer), "mer bigint, windows bigint").groupBy("mer").agg(F.sum("windows").alias("n")), "mers")
+    total = counts.agg(F.sum("n")).scalar()
+    hot = [r["mer"] for r in counts.where((F.col("n") >= HOT_LEAST) & (F.col("n") >= share * total)).select("mer").collect()]
+    forget(counts)
+    return hot
 
 
 def _packed(letters: np.ndarray) -> np.ndarray:
@@ -147,11 +158,11 @@ def _spread_windows(batches: Iterator[pa.RecordBatch], span: int, mer: int, buck
             first, length = _runs(owner[shared], place[shared])
             null = pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())
             yield pa.RecordBatch.from_arrays([*null, pa.array(owner[shared][first]), pa.array(place[shared][first]), pa.array(length)], names)
-            low = _smallest_mers(data, span, mer)[at][keep]
+            low = _smallest_mers(data, span, mer, hot_ones)[at][keep]
             at, owner, place, key = at[keep], owner[keep], place[keep], key[keep]
             if not len(at):
                 continue
-            alone = np.isin(low >> np.uint64(20), hot_ones)
+            alone = low >> np.uint64(20) == np.uint64(NONE)
             cut = np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | alone[1:]]
             first = np.flatnonzero(cut)
             windows = np.diff(np.r_[first, len(at)])
@@ -235,18 +246,19 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], span: int, most: int = HELD)
         yield from done()
 
 
-def shared_windows(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 13, buckets_a_task: int = 8, most: int = HELD) -> DataFrame:
+def shared_windows(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 9, buckets_a_task: int = 8, most: int = HELD) -> DataFrame:
     """id, first, windows: runs of windows of a record that also stand in a record with another id (runs may overlap or touch)."""
     if not 1 <= mer <= span <= 255:
         raise ValueError("need 1 <= mer <= span <= 255")
-    tasks, hot = tasks_for(df), hot_mers(df, id_col, seq_col, span, mer)
+    tasks = tasks_for(df)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), residues(F.col(seq_col)).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= span))
+    hot = hot_mers(rows, max(1, round((bytes_of(df) or 0) / SAMPLE_BYTES)), max(HOT_SHARE, 1 / (2 * tasks)), span, mer)
     sent = rows.mapInArrow(lambda it: _spread_windows(it, span, mer, tasks * buckets_a_task, hot), "bucket int, payload binary, id bigint, first bigint, windows bigint")
     spread_out = sent.repartition(tasks, F.coalesce("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int"))).sortWithinPartitions("bucket")
     return spread_out.mapInArrow(lambda it: _shared_runs(it, span, most), "id bigint, first bigint, windows bigint")
 
 
-def shared_spans(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 13) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str = "ord", seq_col: str = "seq", span: int = 25, mer: int = 9) -> DataFrame:
     """id, span_start (from 1), span_len: the maximal runs of residues covered by windows of `span` residues that also stand in a record with another id.
 
     Rows with a null id or fewer than `span` residues share nothing, and a row delivered twice under one id shares
