@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from merloom.storage import forget, written
 
-#: Rounds between two written tables in a fixpoint loop.
-CUT = 4
+#: Steps that one job takes: links that a search goes on, and jumps of a pointer.
+HOPS = 4
 
 
 class Chains(NamedTuple):
@@ -22,7 +22,7 @@ class Chains(NamedTuple):
 
 
 def contracted(edges: DataFrame, stops: DataFrame | None = None) -> Chains:
-    """The chains of distinct edges (src, dst), by pointer jumping: as many rounds as the logarithm of the longest chain. Nodes in `stops` (mer) are not within chains."""
+    """The chains of distinct edges (src, dst), by pointer jumping: as many rounds as the logarithm (to base HOPS) of the longest chain. Nodes in `stops` (mer) are not within chains."""
     out = edges.groupBy(F.col("src").alias("mer")).agg(F.count("*").alias("nout"), F.min("dst").alias("succ"))
     into = edges.groupBy(F.col("dst").alias("mer")).agg(F.count("*").alias("nin"), F.min("src").alias("pred"))
     inner = out.join(into, "mer").where("nin = 1 and nout = 1 and succ <> mer").select("mer", "pred", "succ")
@@ -32,10 +32,12 @@ def contracted(edges: DataFrame, stops: DataFrame | None = None) -> Chains:
     at, most, reach = written(at, "chain"), inner.count(), 1
     while reach <= 2 * most and not at.where("not found").isEmpty():
         far = at.select(F.col("mer").alias("up"), F.col("up").alias("up2"), F.col("off").alias("off2"), F.col("found").alias("found2"), F.col("low").alias("low2"))
-        moved = at.where("not found").join(far, "up").select("mer", F.col("up2").alias("up"), (F.col("off") + F.col("off2")).alias("off"), F.col("found2").alias("found"), F.least("low", "low2").alias("low"))
+        moved = at.where("not found")
+        for _ in range(HOPS - 1):
+            moved = moved.join(far, "up").select("mer", F.col("up2").alias("up"), (F.col("off") + F.col("off2")).alias("off"), F.col("found2").alias("found"), F.least("low", "low2").alias("low"))
         new = written(at.where("found").unionByName(moved), "chain")
         forget(at)
-        at, reach = new, reach * 2
+        at, reach = new, reach * HOPS
     members = at.where("found").select("mer", F.col("up").alias("chain"), "off")
     last = F.max(F.struct("off", "mer", "succ")).alias("e")
     ends = members.join(inner.select("mer", "succ"), "mer").groupBy("chain").agg(last).select(F.col("chain").alias("dst"), F.col("chain"), F.col("e.succ").alias("to"), F.col("e.mer").alias("last"), (F.col("e.off") + 2).alias("steps"))
@@ -44,13 +46,6 @@ def contracted(edges: DataFrame, stops: DataFrame | None = None) -> Chains:
     return Chains(members, written(links, "links"), at.where("not found").select("mer", "low"))
 
 
-def opened(edges: DataFrame) -> Chains:
-    """contracted(), with the smallest node of each ring outside the chains, so that a ring is a link from a node to itself."""
-    chains = contracted(edges)
-    stops = written(chains.rings.select(F.col("low").alias("mer")).distinct(), "stops")
-    return chains if stops.isEmpty() else contracted(edges, stops)
-
-
 def edges_of(edges: DataFrame, chains: Chains, kept: DataFrame) -> DataFrame:
     """The edges that the links `kept` stand for."""
     plain = edges.join(kept.select("src", F.col("first").alias("dst")), ["src", "dst"], "left_semi")
@@ -60,25 +55,25 @@ def edges_of(edges: DataFrame, chains: Chains, kept: DataFrame) -> DataFrame:
 
 def steps_from(links: DataFrame, start: DataFrame, group: list[str] | None = None) -> DataFrame:
     """mer, ppos: the least number of steps to each node that `start` (mer, ppos) reaches over the links; relaxed in rounds over the links whose source changed. With `group` both tables have these columns too, and each group is searched by itself."""
-    keys = [*(group or []), "mer"]
+    own = group or []
+    keys = [*own, "mer"]
     values = changed = written(start.select(*keys, F.col("ppos").cast("bigint").alias("ppos")), "reached")
-    held, rounds = [values], 0
-    ways = links.select(*(group or []), F.col("src").alias("mer"), "dst", "steps")
+    ways = links.select(*own, F.col("src").alias("mer"), "dst", F.col("steps").cast("bigint").alias("steps"))
+    # a way of no step from each node to itself, so that HOPS joins go on up to HOPS links
+    stay = links.select(*own, F.explode(F.array("src", "dst")).alias("mer")).unionByName(start.select(*keys)).distinct()
+    ways = written(ways.unionByName(stay.select(*own, "mer", F.col("mer").alias("dst"), F.lit(0).cast("bigint").alias("steps"))), "ways")
     while True:
-        rounds += 1
-        offers = ways.join(changed, keys).groupBy(*(group or []), F.col("dst").alias("mer")).agg(F.min(F.col("ppos") + F.col("steps")).alias("new"))
-        better = offers.join(values.withColumnRenamed("ppos", "old"), keys, "left").where("old is null or new < old").select(*keys, F.col("new").alias("ppos"))
-        changed = written(better, "front")
-        held.append(changed)
+        offers = changed
+        for _ in range(HOPS):
+            offers = ways.join(offers, keys).groupBy(*own, F.col("dst").alias("mer")).agg(F.min(F.col("ppos") + F.col("steps")).alias("ppos"))
+        both = offers.withColumnRenamed("ppos", "new").join(values.withColumnRenamed("ppos", "old"), keys, "full")
+        new = written(both.select(*keys, F.least("new", "old").alias("ppos"), (F.col("old").isNull() | (F.col("new") < F.col("old"))).alias("better")), "reached")
+        forget(values)
+        values, changed = new.drop("better"), new.where("better").drop("better")
+        values._written_to = new._written_to
         if changed.isEmpty():
-            values = written(values, "reached")
-            forget(*held)
+            forget(ways)
             return values
-        values = values.join(changed.select(*keys), keys, "left_anti").unionByName(changed)
-        if rounds % CUT == 0:
-            values = written(values, "reached")
-            forget(*held[:-1])
-            held = [changed, values]
 
 
 def inner_steps(chains: Chains, values: DataFrame) -> DataFrame:

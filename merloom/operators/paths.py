@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merloom.operators.contract import CUT, Chains, contracted, followed
+from merloom.operators.contract import HOPS, Chains, contracted, followed
 from merloom.operators.graph import BEGIN, END
 from merloom.storage import forget, written
 
@@ -13,8 +13,8 @@ from merloom.storage import forget, written
 def best_values(nodes: DataFrame, edges: DataFrame, widest: bool = False, chains: Chains | None = None) -> DataFrame:
     """mer, value, pre: the largest sum of counts on a way from BEGIN (with `widest` the largest least count), and the smallest of the best predecessors.
 
-    Rounds of relaxation over the links between branches whose source changed; there are as many rounds as the longest
-    way has links. A cycle raises once a round exceeds the number of nodes between links. `chains` is contracted(edges),
+    Rounds of relaxation over the links between branches whose source changed, HOPS links a round; as many as the longest
+    way needs. A cycle raises once the links gone exceed the number of nodes between links. `chains` is contracted(edges),
     if that is at hand.
     """
     spark = edges.sparkSession
@@ -25,40 +25,43 @@ def best_values(nodes: DataFrame, edges: DataFrame, widest: bool = False, chains
     gains = inside.groupBy("chain").agg((F.min("cnt") if widest else F.sum("cnt")).alias("gain"))
     ways = chains.links.join(gains, "chain", "left").join(counts.select(F.col("mer").alias("dst"), "cnt"), "dst")
     if widest:
-        own = F.when(F.col("dst") == END, F.coalesce("gain", start)).otherwise(F.least("gain", "cnt"))
+        own, nothing = F.when(F.col("dst") == END, F.coalesce("gain", start)).otherwise(F.least("gain", "cnt")), start
         reached = F.least("value", "own")
     else:
-        own = F.coalesce("gain", F.lit(0.0)) + F.col("cnt")
+        own, nothing = F.coalesce("gain", F.lit(0.0)) + F.col("cnt"), F.lit(0.0)
         reached = F.col("value") + F.col("own")
-    ways = written(ways.select("src", "dst", "last", "chain", own.alias("own")), "ways")
+    ways = ways.select("src", "dst", "last", own.alias("own"))
+    # a way from each node to itself, so that HOPS joins go on up to HOPS links
+    stay = chains.links.select(F.explode(F.array("src", "dst")).alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(None).cast("string").alias("last"), nothing.alias("own"))
+    ways = written(ways.unionByName(stay), "ways")
     values = changed = written(spark.range(1).select(F.lit(BEGIN).alias("mer"), start.alias("value"), F.lit(None).cast("string").alias("pre")), "values")
-    held, rounds, most = [values], 0, ways.select("dst").distinct().count() + 1
+    rounds, most = 0, ways.select("dst").distinct().count() + 1
     while True:
         rounds += 1
-        if rounds > most + 1:
+        if (rounds - 1) * HOPS > most + 1:
             raise ValueError("the graph has a cycle")
-        # of equal predecessors the smallest name
-        offers = ways.join(changed.select(F.col("mer").alias("src"), "value"), "src").groupBy(F.col("dst").alias("mer")).agg(F.min(F.struct((-reached).alias("n"), "last")).alias("x"))
-        gain = offers.select("mer", (-F.col("x.n")).alias("new"), F.col("x.last").alias("p"))
+        offers = changed
+        for _ in range(HOPS):
+            # of equal predecessors the smallest name
+            best = F.min(F.struct((-reached).alias("n"), F.coalesce("last", "pre").alias("pre"))).alias("x")
+            offers = ways.join(offers.select(F.col("mer").alias("src"), "value", "pre"), "src").groupBy(F.col("dst").alias("mer")).agg(best).select("mer", (-F.col("x.n")).alias("value"), F.col("x.pre").alias("pre"))
         old = values.select("mer", F.col("value").alias("old"), F.col("pre").alias("old_pre"))
-        better = gain.join(old, "mer", "left").where("old is null or new > old or (new = old and p < old_pre)")
-        better = written(better.select("mer", F.col("new").alias("value"), F.col("p").alias("pre"), (F.col("old").isNull() | (F.col("new") > F.col("old"))).alias("up")), "better")
-        held.append(better)
-        if better.isEmpty():
+        both = offers.join(old, "mer", "full")
+        up = F.col("value").isNotNull() & (F.col("old").isNull() | (F.col("value") > F.col("old")))
+        same = (F.col("value") == F.col("old")) & (F.col("pre") < F.col("old_pre"))
+        new = written(both.select("mer", F.when(up, F.col("value")).otherwise(F.col("old")).alias("value"), F.when(up | same, F.col("pre")).otherwise(F.col("old_pre")).alias("pre"), up.alias("up")), "values")
+        forget(values)
+        values, changed = new.drop("up"), new.where("up").drop("up")
+        values._written_to = new._written_to
+        if changed.isEmpty():
             break
-        values = values.join(better.select("mer"), "mer", "left_anti").unionByName(better.drop("up"))
-        if rounds % CUT == 0:
-            values = written(values, "values")
-            forget(*held[:-1])
-            held = [better, values]
-        changed = better.where("up").select("mer", "value")
     # nodes within chains: what their source has, and the counts up to them
     so_far = Window.partitionBy("chain").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     along = inside.select("chain", "mer", "off", (F.min("cnt") if widest else F.sum("cnt")).over(so_far).alias("own"), F.lag("mer").over(Window.partitionBy("chain").orderBy("off")).alias("before"))
     heads = chains.links.where("chain is not null").join(values.select(F.col("mer").alias("src"), "value"), "src").select("chain", "src", "value")
     within = along.join(heads, "chain").select("mer", reached.alias("value"), F.coalesce("before", "src").alias("pre"))
     found = written(values.unionByName(within), "values")
-    forget(ways, *held)
+    forget(ways, values)
     return found
 
 
@@ -122,6 +125,17 @@ def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[
     return nodes.sparkSession.createDataFrame(rows, "path_id int, step int, mer string")
 
 
+def way_facts(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """path_id, whole, first_score: for each path (path_id, step, mer) whether all its steps, with those from BEGIN and to END, are edges, and the score of path 0."""
+    order = Window.partitionBy("path_id").orderBy("step")
+    steps = paths.select("path_id", F.coalesce(F.lag("mer").over(order), F.lit(BEGIN)).alias("src"), F.col("mer").alias("dst"), F.lead("mer").over(order).isNull().alias("last"))
+    steps = steps.select("path_id", "src", "dst").unionByName(steps.where("last").select("path_id", F.col("dst").alias("src"), F.lit(END).alias("dst")))
+    known = steps.join(edges.select("src", "dst", F.lit(True).alias("known")), ["src", "dst"], "left")
+    whole = known.groupBy("path_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("whole"))
+    score = path_scores(nodes, paths.where("path_id = 0")).scalar()
+    return whole.select("path_id", "whole", score.cast("bigint").alias("first_score"))
+
+
 def back_steps(paths: DataFrame, placed: DataFrame) -> DataFrame:
     """path_id, most: the largest fall of level between two steps of each path."""
     at = paths.join(placed, "mer", "left")

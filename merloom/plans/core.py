@@ -217,11 +217,18 @@ def relative_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _part(spark, d)
-    nodes, edges, _ = graph.from_rows(rows, tally.mer_tally(rows, 4), 4)
+    """The mer graph of the whole population."""
+    rows = _population(spark, d)
+    nodes, edges, _ = graph.from_rows(rows, written(tally.mer_tally(rows, E), "tally"), E)
     return written(nodes, "nodes"), written(edges, "edges")
 
 
+def forward_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Its nodes, and the edges that lead up a level or to END."""
+    nodes, edges = graph_tables(spark, d)
+    return nodes, written(graph.forward(edges, graph.levels(edges)), "forward")
+
+
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph_tables(spark, d)[0]
 
@@ -231,7 +238,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return graph.overlaps(graph.nodes_above(tally.mer_tally(_population(spark, d), E), 2), E)
+    return graph.overlaps(tally.mer_tally(_population(spark, d), E), E)
 
 
 def edge_costs(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +247,7 @@ def edge_costs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def low_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.low_edges(*graph_tables(spark, d), 20)
+    return graph.low_edges(*graph_tables(spark, d), 1)
 
 
 def weak_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -252,44 +259,49 @@ def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
     return graph.levels(graph_tables(spark, d)[1])
 
 
+def forward_edges(spark: SparkSession, d: str) -> DataFrame:
+    return forward_tables(spark, d)[1]
+
+
 def trim_dead(spark: SparkSession, d: str) -> DataFrame:
-    """The overlaps of frequent mers without dead ends and dead begins."""
-    nodes, edges = graph_tables(spark, d)
-    gone = nodes.where("mer like '%A%'").select("mer")
-    return graph.without_dead_begins(graph.without_dead_ends(graph.without(edges, gone)))
+    """The forward edges without mers that hold WW or MC, dead ends and dead begins."""
+    nodes, edges = forward_tables(spark, d)
+    gone = nodes.where("mer like '%WW%' or mer like '%MC%'").select("mer")
+    return graph.without_dead_begins(graph.without_dead_ends(written(graph.without(edges, gone), "kept")))
 
 
 def best_path_score(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_tables(spark, d)
+    nodes, edges = forward_tables(spark, d)
     values = paths.best_values(nodes, edges).where(F.col("mer") == graph.END)
     return values.select(F.col("value").cast("bigint").alias("score"))
 
 
+def best_node_values(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = forward_tables(spark, d)
+    return paths.best_values(nodes, edges).select("mer", F.col("value").cast("bigint").alias("value"))
+
+
 def path_bandwidth(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_tables(spark, d)
+    nodes, edges = forward_tables(spark, d)
     return paths.best_values(nodes, edges, True).where(F.col("mer") == graph.END).select(F.col("value").cast("bigint").alias("score"))
 
 
 def complementary_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_tables(spark, d)
-    return paths.paths_to_text(paths.complementary_paths(nodes, edges, 3))
+    """What three complementary ways are held to: each is a way from BEGIN to END, and the first has the best score."""
+    nodes, edges = forward_tables(spark, d)
+    ways = paths.complementary_paths(nodes, edges, 3)
+    return paths.way_facts(ways, nodes, edges)
 
 
 def design_antigens(spark: SparkSession, d: str) -> DataFrame:
-    return design(_part(spark, d), Design(e=4, m=2)).withColumn("share", F.round("share", 9))
-
-
-def cyclic_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _population(spark, d)
-    counts = tally.mer_tally(rows, 3)
-    nodes = written(counts.where(F.col("cnt") >= 0.08 * rows.count()), "nodes")
-    return nodes, written(graph.overlaps(nodes, 3), "edges")
+    return design(_population(spark, d), Design(e=E, m=2)).withColumn("share", F.round("share", 9))
 
 
 def decycle_removed(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = cyclic_graph(spark, d)
-    placed = nodes.select("mer", F.lit(0).alias("ppos"))
-    return decycle.removed_edges(graph.edge_costs(nodes, edges, placed, ["rss"]).withColumnRenamed("rss", "cost"))
+    """What the removal of cycles is held to: how many edges there were, and how many are still on a cycle."""
+    nodes, edges = graph_tables(spark, d)
+    costs = graph.edge_costs(nodes, edges, graph.levels(edges), ["rss"]).withColumnRenamed("rss", "cost")
+    return decycle.removal_facts(written(costs, "costs"))
 
 
 def kmer_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -416,8 +428,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "low_edges": low_edges,
     "weak_nodes": weak_nodes,
     "bfs_levels": bfs_levels,
+    "forward_edges": forward_edges,
     "trim_dead": trim_dead,
     "best_path_score": best_path_score,
+    "best_node_values": best_node_values,
     "path_bandwidth": path_bandwidth,
     "complementary_paths": complementary_paths,
     "design_antigens": design_antigens,
@@ -486,21 +500,24 @@ n AS (SELECT pos, c, sum(w) AS w FROM ch WHERE {good} GROUP BY pos, c HAVING sum
 SELECT pos, round(sum(w / t * ln(t / w)) + 0.0, 6) AS entropy FROM n JOIN t USING (pos) GROUP BY pos"""
 
 
-_GRAPH = f"""{_PART}, {_sets('part4', 4, 'ord')}, tally AS (SELECT mer, count(*) AS cnt FROM m GROUP BY mer),
-ends AS (SELECT left(seq, 4) AS f, right(seq, 4) AS l FROM part4 WHERE length(seq) >= 4),
-nodes AS (SELECT mer, cnt FROM tally UNION ALL SELECT * FROM (VALUES ('==BEGIN==', 0), ('===END===', 0)) v(mer, cnt)),
-edges AS (SELECT a.mer AS src, b.mer AS dst FROM tally a JOIN tally b ON substring(a.mer, 2) = left(b.mer, 3) AND a.mer <> b.mer
+_GRAPH = f"""{_POP}, {_sets('pop', 9, 'ord')}, tally AS MATERIALIZED (SELECT mer, count(*) AS cnt, mer[2:] AS tail, mer[:8] AS head FROM m GROUP BY mer),
+ends AS (SELECT left(seq, 9) AS f, right(seq, 9) AS l FROM pop WHERE length(seq) >= 9),
+nodes AS MATERIALIZED (SELECT mer, cnt FROM tally UNION ALL SELECT * FROM (VALUES ('==BEGIN==', 0), ('===END===', 0)) v(mer, cnt)),
+inner_ AS MATERIALIZED (SELECT a.mer AS src, b.mer AS dst FROM tally a JOIN tally b ON a.tail = b.head WHERE a.mer <> b.mer),
+edges AS MATERIALIZED (SELECT src, dst FROM inner_
   UNION ALL SELECT '==BEGIN==', mer FROM (SELECT DISTINCT f AS mer FROM ends) UNION ALL SELECT mer, '===END===' FROM (SELECT DISTINCT l AS mer FROM ends))"""
-_LEVELS = f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT '==BEGIN==' AS mer, 0 AS ppos UNION SELECT e.dst, w.ppos + 1 FROM walk w JOIN edges e ON e.src = w.mer WHERE w.ppos < 200),
-levels AS (SELECT mer, min(ppos) AS ppos FROM walk GROUP BY mer)"""
+_LEVELS = f"""WITH RECURSIVE {_GRAPH}, levels(mer, ppos) USING KEY (mer) AS (SELECT '==BEGIN==', 0 UNION SELECT e.dst, min(w.ppos) + 1 FROM levels w JOIN edges e ON e.src = w.mer ANTI JOIN recurring.levels k ON k.mer = e.dst GROUP BY e.dst)"""
+_FORWARD = f"""{_LEVELS}, forward AS MATERIALIZED (SELECT src, dst FROM edges JOIN levels a ON a.mer = src JOIN levels b ON b.mer = dst WHERE b.ppos > a.ppos OR dst = '===END===')"""
 _COSTS = f"""{_LEVELS}, din AS (SELECT dst AS mer, count(*) AS n FROM edges GROUP BY dst), dout AS (SELECT src AS mer, count(*) AS n FROM edges GROUP BY src),
 x AS (SELECT e.src, e.dst, a.cnt AS ca, b.cnt AS cb, CAST(ib.n = 1 AS INT) AS sp, CAST(oa.n = 1 AS INT) AS sib, CAST(coalesce(ia.n, 0) = 1 AS INT) AS ia, CAST(coalesce(ob.n, 0) = 1 AS INT) AS ob, la.ppos AS pa, lb.ppos AS pb
   FROM edges e JOIN nodes a ON a.mer = e.src JOIN nodes b ON b.mer = e.dst LEFT JOIN din ib ON ib.mer = e.dst LEFT JOIN dout oa ON oa.mer = e.src LEFT JOIN din ia ON ia.mer = e.src LEFT JOIN dout ob ON ob.mer = e.dst LEFT JOIN levels la ON la.mer = e.src LEFT JOIN levels lb ON lb.mer = e.dst)
 SELECT src, dst, ca + cb + cb * sp + ca * sib AS rss, ca + cb + 2 * cb * sp + 2 * ca * sib AS rs2, ca + cb AS sum, greatest(ca, cb) AS sup, ca * ia + cb * ob AS iso, greatest(ca, cb) + ca * ia + cb * ob AS supiso, greatest(ca, cb) + ca * ia + cb * ob AS sso,
   ca + cb + ca * sib AS sib, ca + cb + cb * sp AS sps, ca * 0 AS rnd, coalesce(-pa, 0) AS pos, coalesce(pb - pa, 0) AS dpos FROM x"""
-_TRIM = f"""WITH RECURSIVE {_GRAPH}, left_ AS (SELECT src, dst FROM edges WHERE NOT contains(replace(src, '==BEGIN==', ''), 'A') AND NOT contains(replace(dst, '===END===', ''), 'A')),
-up AS (SELECT '===END===' AS mer UNION SELECT l.src FROM up JOIN left_ l ON l.dst = up.mer), down AS (SELECT '==BEGIN==' AS mer UNION SELECT l.dst FROM down JOIN left_ l ON l.src = down.mer)"""
-_PATHS = f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT '==BEGIN==' AS mer, CAST(0 AS BIGINT) AS v, CAST(999999 AS BIGINT) AS w UNION SELECT e.dst, k.v + n.cnt, CASE WHEN e.dst = '===END===' THEN k.w ELSE least(k.w, n.cnt) END FROM walk k JOIN edges e ON e.src = k.mer JOIN nodes n ON n.mer = e.dst)"""
+_TRIM = f"""{_FORWARD}, kept AS MATERIALIZED (SELECT src, dst FROM forward WHERE NOT contains(src, 'WW') AND NOT contains(dst, 'WW') AND NOT contains(src, 'MC') AND NOT contains(dst, 'MC')),
+up AS (SELECT '===END===' AS mer UNION SELECT l.src FROM up JOIN kept l ON l.dst = up.mer), down AS (SELECT '==BEGIN==' AS mer UNION SELECT l.dst FROM down JOIN kept l ON l.src = down.mer)"""
+# a way never comes back to a level, so a node's value is final when its level is reached; END, which all levels lead to, is read last
+_PATHS = f"""{_FORWARD}, walk AS (SELECT '==BEGIN==' AS mer, CAST(0 AS BIGINT) AS v, CAST(999999 AS BIGINT) AS w UNION ALL SELECT e.dst, CAST(max(k.v + n.cnt) AS BIGINT), CAST(max(least(k.w, n.cnt)) AS BIGINT) FROM walk k JOIN forward e ON e.src = k.mer JOIN nodes n ON n.mer = e.dst WHERE e.dst <> '===END===' GROUP BY e.dst),
+best AS (SELECT mer, v, w FROM walk UNION ALL SELECT '===END===', max(v), max(w) FROM walk JOIN forward e ON e.src = walk.mer AND e.dst = '===END===')"""
 _KMERS = f"kmers AS (SELECT DISTINCT unnest({{w}}) AS kmer FROM {{t}}), mem AS (SELECT kmer, unnest(list_distinct({{s}})) AS mer FROM kmers)"
 _LONG = _KMERS.format(w=_windows("seq", 15), t="pop", s=_windows("kmer", 9))
 _SIX = _KMERS.format(w=_windows("seq", 6), t="part4", s=_windows("kmer", 4))
@@ -558,14 +575,18 @@ SQL: dict[str, str] = {
     "relative_names": f"WITH {_CUST}, a AS (SELECT seq AS r FROM cust ORDER BY ord LIMIT 1) SELECT ord, array_to_string(list_transform(range(1, least(length(seq), length(r)) + 1), lambda i: CASE WHEN substring(seq, i, 1) = substring(r, i, 1) THEN '.' ELSE substring(seq, i, 1) END), '') AS relative FROM cust, a",
     "graph_nodes": f"WITH {_GRAPH} SELECT mer, cnt FROM nodes",
     "graph_edges": f"WITH {_GRAPH} SELECT src, dst FROM edges",
-    "sequence_overlaps": f"WITH {_TALLY}, n AS (SELECT mer FROM tally WHERE cnt > 2) SELECT a.mer AS src, b.mer AS dst FROM n a JOIN n b ON substring(a.mer, 2) = left(b.mer, 8) AND a.mer <> b.mer",
+    "sequence_overlaps": f"WITH {_GRAPH} SELECT src, dst FROM inner_",
     "edge_costs": _COSTS,
-    "low_edges": f"WITH {_GRAPH} SELECT src, dst FROM edges JOIN nodes a ON a.mer = src JOIN nodes b ON b.mer = dst WHERE a.cnt <= 20 AND b.cnt <= 20",
-    "weak_nodes": f"WITH {_TALLY}, e AS (SELECT a.mer AS src, b.mer AS dst FROM tally a JOIN tally b ON substring(a.mer, 2) = left(b.mer, 8) AND a.mer <> b.mer), i AS (SELECT dst AS mer, min(src) AS p FROM e GROUP BY dst HAVING count(*) = 1), o AS (SELECT src AS mer, min(dst) AS s FROM e GROUP BY src HAVING count(*) = 1) SELECT t.mer FROM tally t JOIN i USING (mer) JOIN o USING (mer) JOIN tally a ON a.mer = p JOIN tally b ON b.mer = s WHERE t.cnt <= 1 AND a.cnt <= 1 AND b.cnt <= 1",
+    "low_edges": f"WITH {_GRAPH} SELECT src, dst FROM edges JOIN nodes a ON a.mer = src JOIN nodes b ON b.mer = dst WHERE a.cnt <= 1 AND b.cnt <= 1",
+    "weak_nodes": f"WITH {_GRAPH}, i AS (SELECT dst AS mer, min(src) AS p FROM inner_ GROUP BY dst HAVING count(*) = 1), o AS (SELECT src AS mer, min(dst) AS s FROM inner_ GROUP BY src HAVING count(*) = 1) SELECT t.mer FROM tally t JOIN i USING (mer) JOIN o USING (mer) JOIN tally a ON a.mer = p JOIN tally b ON b.mer = s WHERE t.cnt <= 1 AND a.cnt <= 1 AND b.cnt <= 1",
     "bfs_levels": _LEVELS + " SELECT mer, ppos FROM levels",
-    "trim_dead": _TRIM + " SELECT src, dst FROM left_ WHERE src IN (SELECT mer FROM down) AND dst IN (SELECT mer FROM up)",
-    "best_path_score": _PATHS + " SELECT max(v) AS score FROM walk WHERE mer = '===END==='",
-    "path_bandwidth": _PATHS + " SELECT max(w) AS score FROM walk WHERE mer = '===END==='",
+    "forward_edges": _FORWARD + " SELECT src, dst FROM forward",
+    "trim_dead": _TRIM + " SELECT src, dst FROM kept WHERE src IN (SELECT mer FROM down) AND dst IN (SELECT mer FROM up)",
+    "complementary_paths": _PATHS + ", p AS (SELECT unnest([0, 1, 2]) AS path_id) SELECT CAST(path_id AS INT) AS path_id, true AS whole, CAST((SELECT v FROM best WHERE mer = '===END===') AS BIGINT) AS first_score FROM p",
+    "decycle_removed": f"WITH {_GRAPH} SELECT count(*) AS edges, CAST(0 AS BIGINT) AS left_on_cycles, true AS some_removed FROM edges",
+    "best_path_score": _PATHS + " SELECT v AS score FROM best WHERE mer = '===END==='",
+    "best_node_values": _PATHS + " SELECT mer, v AS value FROM best",
+    "path_bandwidth": _PATHS + " SELECT w AS score FROM best WHERE mer = '===END==='",
     "kmer_scores": f"WITH {_TALLY}, {_LONG} SELECT kmer, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS score FROM mem LEFT JOIN tally USING (mer) GROUP BY kmer",
     "pool_quarter": f"WITH {_PART}, {_sets('part4', 4, 'ord')}, tally AS (SELECT mer, count(*) AS cnt FROM m GROUP BY mer), {_SIX}, s AS (SELECT kmer, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS score FROM mem LEFT JOIN tally USING (mer) GROUP BY kmer) SELECT kmer, score FROM s QUALIFY row_number() OVER (ORDER BY score DESC, kmer) <= (SELECT count(*) FROM s) // 4",
     "union_score": f"WITH {_TALLY}, a AS (SELECT regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS seq FROM antigens WHERE seq IS NOT NULL), t AS (SELECT DISTINCT unnest(list_transform(range(0, greatest(CAST(ceil(1 + (length(seq) - 15) / 7.0) AS BIGINT), 0)), lambda i: substring(seq, i * 7 + 1, 15))) AS kmer FROM a), u AS (SELECT DISTINCT unnest({_windows('kmer', 9)}) AS mer FROM t) SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS score FROM u JOIN tally USING (mer)",

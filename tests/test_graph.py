@@ -3,7 +3,7 @@ import random
 import pandas as pd
 from conftest import rows
 
-from merloom.operators import decycle, graph, paths, tally
+from merloom.operators import contract, decycle, graph, paths, tally
 
 
 def _edges(spark, pairs):
@@ -65,9 +65,10 @@ def test_no_cycle_is_left(spark):
     assert not _acyclic(pairs)
     left = decycle.decycled(costed.select("src", "dst"), costed)
     assert _acyclic([tuple(r) for r in left.collect()])
-    small = decycle.removed_edges(costed, task_edges=20)
-    gone = {(r["src"], r["dst"]) for r in small.collect()}
-    assert gone and _acyclic([p for p in pairs if p not in gone])
+    on_cycle = set(rows(decycle.cyclic_edges(costed)))
+    for most in (decycle.TASK_LINKS, 15):
+        gone = {(r["src"], r["dst"]) for r in decycle.removed_edges(costed, task_links=most).collect()}
+        assert gone and gone <= on_cycle and _acyclic([p for p in pairs if p not in gone])
 
 
 def test_acyclic_graph_loses_nothing(spark):
@@ -78,7 +79,7 @@ def test_acyclic_graph_loses_nothing(spark):
 def test_large_acyclic_graph_loses_nothing(spark):
     """Long ways outlast the peeling, and all costs are tied."""
     costed = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", 0.0) for i in range(22) for j in (i + 1, i + 2)], "src string, dst string, cost double")
-    assert decycle.removed_edges(costed, task_edges=5).count() == 0
+    assert decycle.removed_edges(costed, task_links=5).count() == 0
 
 
 def test_strong_edges_are_those_of_the_search(spark):
@@ -94,10 +95,40 @@ def test_strong_edges_are_those_of_the_search(spark):
     assert want and rows(decycle.strong_edges(_edges(spark, pairs)).select("src", "dst")) == want
 
 
-def test_component_labels(spark):
-    edges = _edges(spark, [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(40)] + [("z1", "z2")])
-    labels = dict(rows(decycle.components(edges)))
-    assert set(labels[f"a{i:03d}"] for i in range(41)) == {"a000"} and labels["z2"] == "z1"
+def test_rings_and_loops(spark):
+    """Closed chains, with and without a way in, an edge from a node to itself, and a chain from a node back to it."""
+    pairs = [("a", "b", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("p", "q", 2.0), ("q", "p", 5.0), ("x", "p", 0.0), ("s", "s", 1.0), ("m", "n", 4.0), ("n", "m", 3.0), ("m", "z", 0.0)]
+    costed = spark.createDataFrame(pairs, "src string, dst string, cost double")
+    assert rows(decycle.removed_edges(costed)) == [("b", "c", 1.0), ("n", "m", 3.0), ("p", "q", 2.0), ("s", "s", 1.0)]
+    assert len(rows(decycle.cyclic_edges(costed))) == 8
+
+
+def test_chains(spark):
+    """A long chain, a ring, a branch: members in order, and links that stand for all edges."""
+    pairs = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("c000", "d"), ("d", "c040"), ("c040", "e")]
+    edges = _edges(spark, pairs)
+    chains = contract.contracted(edges)
+    assert [m for m, _, _ in sorted(rows(chains.members.where("chain = 'c001'")), key=lambda r: r[2])] == [f"c{i:03d}" for i in range(1, 40)]
+    assert rows(chains.links.select("src", "dst", "steps")) == [("c000", "c040", 2), ("c000", "c040", 40), ("c040", "e", 1)]
+    assert {(r["mer"], r["low"]) for r in chains.rings.collect()} == {("r0", "r0"), ("r1", "r0"), ("r2", "r0")}
+    kept = contract.edges_of(edges, chains, chains.links.where("steps = 2"))
+    assert rows(kept) == [("c000", "d"), ("d", "c040")]
+
+
+def test_ways_are_followed(spark):
+    steps = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("u", "v"), ("v", "u")], "mer string, to string")
+    assert contract.followed(steps, "n00", "n20") == [f"n{i:02d}" for i in range(1, 20)]
+    assert contract.followed(steps, "u", "n20") is None and contract.followed(steps, "n20", "n00") is None
+
+
+def test_levels_are_those_of_a_search(spark):
+    rng = random.Random(11)
+    pairs = sorted({(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)} - {(f"n{i}", f"n{i}") for i in range(60)})
+    want, front = {"n0": 0}, ["n0"]
+    while front:
+        front = sorted({b for a, b in pairs if a in front and b not in want})
+        want |= {x: 1 + max(want.values()) for x in front}
+    assert dict(rows(graph.levels(_edges(spark, pairs), "n0"))) == want
 
 
 def test_graph_is_read_as_written(spark, tmp_path):
@@ -112,8 +143,8 @@ def test_graph_is_read_as_written(spark, tmp_path):
 
 
 def test_costs_stay_fixed():
-    part = pd.DataFrame({"label": "a", "src": ["a", "b"], "dst": ["b", "a"], "cost": [2.0, 1.0]})
-    assert decycle._broken(part, 1)[["src", "dst"]].values.tolist() == [["b", "a"]]
+    part = pd.DataFrame({"src": ["a", "b"], "dst": ["b", "a"], "steps": [1, 4], "cost": [2.0, 1.0], "low_src": ["a", "x"], "low_dst": ["b", "y"]})
+    assert decycle._broken(part, 1)[["src", "dst"]].values.tolist() == [["x", "y"]]
 
 
 def test_cost_names(spark):
@@ -121,11 +152,3 @@ def test_cost_names(spark):
     nodes = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1)], "mer string, cnt bigint")
     got = graph.edge_costs(nodes, edges, graph.levels(edges, "a"), ["rss", "iso", "no such"]).where("src = 'a'").select("rss", "iso", "`no such`")
     assert rows(got) == [(7, 0, 7)]
-
-
-def test_splitting_changes_no_result(spark):
-    rng = random.Random(3)
-    pairs = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(45)) if a != b})
-    costed = spark.createDataFrame([(a, b, float(rng.randrange(3))) for a, b in pairs], "src string, dst string, cost double")
-    gone = rows(decycle.removed_edges(costed))
-    assert gone and gone == rows(decycle.removed_edges(costed, task_edges=5))
