@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from merloom.functions.mers import exploded, mer_set
 from merloom.functions.once import once
 from merloom.operators.offby import near_mers
-from merloom.operators.tally import mer_tally, place_tally, weighted
+from merloom.operators.tally import mer_tally, place_tally, tally_total, weighted
 
 
 #: Antigens at most, as they are numbered in one task.
@@ -54,6 +54,13 @@ def offby_curve(population: DataFrame, antigens: DataFrame, e: int, d: int) -> D
     return grid.select("k", "dist", F.sum(F.coalesce("covered", F.lit(0))).over(order).alias("covered"))
 
 
+def offby_shares(population: DataFrame, antigens: DataFrame, e: int, d: int, bad_in_denominator: bool = False) -> DataFrame:
+    """k, dist, covered, total, share: offby_curve() beside the sum of all counts, mers with the bad character included or not."""
+    total = tally_total(population, e, bad_in_denominator).scalar()
+    curve = offby_curve(population, antigens, e, d).withColumn("total", total)
+    return curve.withColumn("share", F.try_divide("covered", "total"))
+
+
 def macro_curve(population: DataFrame, antigens: DataFrame, e: int, weights: DataFrame | None = None, strict: bool = False, on_empty: str = "drop") -> DataFrame:
     """k, missed: the weighted mean over sequences of the percentage of their mers that the first k antigens miss.
 

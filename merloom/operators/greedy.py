@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from merloom.functions.mers import tiled_mers
 from merloom.functions.once import once
 from merloom.operators.tally import mer_tally
-from merloom.storage import written
+from merloom.storage import forget, written
 
 
 def long_mers(df: DataFrame, k: int, stride: int = 1) -> DataFrame:
@@ -47,26 +48,34 @@ def best_quarter(scored: DataFrame) -> DataFrame:
 def greedy(members: DataFrame, n: int, given: list[str] | None = None) -> list[tuple[str, int]]:
     """(kmer, gain) of n picks: the given ones first, then each time the mer with the largest sum of counts not yet covered.
 
-    `members` is (kmer, mer, cnt). Ties go to the smaller mer; when all is covered, picks gain 0. Every pick is one
-    aggregation over the members; what is covered is the short mers of the picks, at most n * (k - e + 1) of them.
+    `members` is (kmer, mer, cnt). Ties go to the smaller mer; when all is covered, picks gain 0. Scores are summed once;
+    a pick takes from them what its short mers (k - e + 1 at most) gave to the mers that hold these.
     """
     given = given or []
     if len(given) > n:
         raise ValueError("more mers given than asked for")
+    scores = written(members.groupBy("kmer").agg(F.sum("cnt").alias("score")), "scores")
+    lost: list[DataFrame] = []
     picks: list[tuple[str, int]] = []
     covered: set[str] = set()
     for turn in range(n):
-        left = members.where(~F.col("mer").isin(*covered)) if covered else members
-        zero = members.select("kmer").distinct().withColumn("score", F.lit(0))
         if turn < len(given):
-            row = left.where(F.col("kmer") == given[turn]).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("score")).first()
-            picks.append((given[turn], row["score"]))
+            pick = given[turn]
         else:
-            row = left.groupBy("kmer").agg(F.sum("cnt").alias("score")).where("score > 0").orderBy(F.desc("score"), "kmer").first() or zero.orderBy("kmer").first()
+            left = scores
+            if lost:
+                gone = reduce(DataFrame.unionByName, lost).groupBy("kmer").agg(F.sum("lost").alias("lost"))
+                left = scores.join(gone, "kmer", "left").select("kmer", (F.col("score") - F.coalesce("lost", F.lit(0))).alias("score"))
+            row = left.orderBy(F.desc("score"), "kmer").first()
             if row is None:
                 break
-            picks.append((row["kmer"], row["score"]))
-        covered |= {r["mer"] for r in members.where(F.col("kmer") == picks[-1][0]).select("mer").distinct().collect()}
+            pick = row["kmer"]
+        new = {r["mer"]: r["cnt"] for r in members.where(F.col("kmer") == pick).select("mer", "cnt").distinct().collect() if r["mer"] not in covered}
+        picks.append((pick, sum(new.values())))
+        covered |= new.keys()
+        if new:
+            lost.append(written(members.where(F.col("mer").isin(*new)).groupBy("kmer").agg(F.sum("cnt").alias("lost")), "lost"))
+    forget(scores, *lost)
     return picks
 
 
@@ -76,23 +85,49 @@ def member_counts(df: DataFrame, k: int, e: int, pool: DataFrame | None = None)
     return written(membership(pool if pool is not None else long_mers(df, k), e).join(counts, "mer", "left").select("kmer", "mer", F.coalesce("cnt", F.lit(0)).alias("cnt")), "members")
 
 
-def top_mers(df: DataFrame, k: int, e: int, n: int, reduce: bool = False) -> DataFrame:
-    """pick, kmer, score: the greedy picks, from the whole pool or its best quarter."""
-    members = member_counts(df, k, e)
-    if reduce:
-        quarter = best_quarter(members.groupBy("kmer").agg(F.sum("cnt").alias("score")))
-        members = written(members.join(quarter.select("kmer"), "kmer", "left_semi"), "quarter")
-    picks = greedy(members, n)
+def top_mers(df: DataFrame, k: int, e: int, n: int, quarter: bool = False, initial: DataFrame | None = None, trials: int = 0, seed: int = 1) -> DataFrame:
+    """pick, kmer, score: the greedy picks, from the whole pool or its best quarter.
+
+    The tiles of `initial` rows come first and join the pool; more than n of them are an error. With `trials` the picks
+    are improved in rounds, see refined(), in which initial picks are free too.
+    """
+    pool, given = None, []
+    if initial is not None:
+        first = tiles(initial, k, e).where(F.length("kmer") == k)
+        given = [r["kmer"] for r in first.orderBy("kmer").limit(n + 1).collect()]
+        pool = long_mers(df, k).unionByName(first).distinct()
+    members = member_counts(df, k, e, pool)
+    if quarter:
+        best = best_quarter(members.groupBy("kmer").agg(F.sum("cnt").alias("score"))).select("kmer")
+        kept = best.unionByName(df.sparkSession.createDataFrame([(m,) for m in given], "kmer string")).distinct()
+        members = written(members.join(kept, "kmer", "left_semi"), "quarter")
+    picks = refined(members, n, trials, seed, given) if trials else greedy(members, n, given)
     return df.sparkSession.createDataFrame([(i + 1, m, s) for i, (m, s) in enumerate(picks)], "pick int, kmer string, score bigint")
 
 
-def refined(members: DataFrame, n: int, trials: int = 3, fix: float = 0.5, seed: int = 1) -> list[tuple[str, int]]:
-    """Greedy picks, then trials that keep a random share of the best picks and choose the others again; the best of all trials."""
-    rng = random.Random(f"{seed}:refined")
-    best = greedy(members, n)
+def _total(picks: list[tuple[str, int]]) -> int:
+    return sum(s for _, s in picks)
+
+
+def restarted(members: DataFrame, n: int, seed: int = 1, fix: float = 0.5) -> list[tuple[str, int]]:
+    """Picks around a random share of the pool, and then again around those that were not random."""
+    some = members.select("kmer").distinct().orderBy(F.xxhash64(F.lit(seed), "kmer"), "kmer").limit(math.ceil(fix * n))
+    drawn = sorted(r["kmer"] for r in some.collect())
+    return greedy(members, n, [m for m, _ in greedy(members, n, drawn)[len(drawn) :]])
+
+
+def tweaked(members: DataFrame, best: list[tuple[str, int]], trials: int, fix: float, rng: random.Random) -> list[tuple[str, int]]:
+    """The best of the given picks and of trials that keep a random share of the best so far and choose the others again."""
     for _ in range(trials):
         kept = rng.sample([m for m, _ in best], math.ceil(fix * len(best)))
-        new = greedy(members, n, kept)
-        if sum(s for _, s in new) > sum(s for _, s in best):
-            best = new
+        best = max(best, greedy(members, len(best), kept), key=_total)
     return best
+
+
+def refined(members: DataFrame, n: int, trials: int = 10, seed: int = 1, given: list[str] | None = None) -> list[tuple[str, int]]:
+    """Greedy picks, against a restart from random ones that is tweaked once with half of the picks kept, then both tweaked by `trials` trials with nine tenths kept; the best of all."""
+    rng = random.Random(f"{seed}:refined")
+    best = greedy(members, n, given)
+    other = tweaked(members, restarted(members, n, seed), 1, 0.5, rng) if best else best
+    best = max(best, tweaked(members, other, trials, 0.9, rng), key=_total)
+    return tweaked(members, best, trials, 0.9, rng)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import random
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merloom.operators.contract import HOPS, Chains, contracted, followed
@@ -91,8 +93,8 @@ def covered_score(nodes: DataFrame, paths: list[list[str]]) -> float:
     return float(nodes.join(F.broadcast(_table(nodes, paths)), "mer", "left_semi").agg(F.sum("cnt")).first()[0] or 0)
 
 
-def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[list[str]] | None = None, extra: int = 0, start: list[list[str]] | None = None) -> DataFrame:
-    """path_id, step, mer: up to m ways; each is best for what the others leave uncovered.
+def complementary_ways(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[list[str]] | None = None, extra: int = 0, start: list[list[str]] | None = None, chains: Chains | None = None) -> tuple[float, list[list[str]]]:
+    """What up to m ways cover, and the ways; each is best for what the others leave uncovered.
 
     The fixed ways stay; those in `start` come next and may be replaced. While there are fewer than m a way is added if
     it gains; then the oldest is taken out and replaced if the new one scores strictly more, for up to `extra` more turns
@@ -102,7 +104,7 @@ def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[
     if m <= len(fixed):
         raise ValueError("m must be above the number of fixed paths")
     counts = nodes.select("mer", F.col("cnt").cast("double").alias("cnt"))
-    chains = contracted(edges)
+    chains = contracted(edges) if chains is None else chains
     ways = ways[: m - len(fixed)]
     idle, score = 0, covered_score(counts, [*fixed, *ways])
     for _ in range(m - len(fixed) + extra):
@@ -121,8 +123,46 @@ def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[
             if out is not None:
                 ways.append(out)
             idle += 1
-    rows = [(k, s, mer) for k, p in enumerate([*fixed, *ways]) for s, mer in enumerate(p)]
-    return nodes.sparkSession.createDataFrame(rows, "path_id int, step int, mer string")
+    return score, [*fixed, *ways]
+
+
+def path_table(spark: SparkSession, ways: list[list[str]]) -> DataFrame:
+    """path_id, step, mer of a few ways, each as long as a sequence."""
+    return spark.createDataFrame([(k, s, mer) for k, p in enumerate(ways) for s, mer in enumerate(p)], "path_id int, step int, mer string")
+
+
+def complementary_paths(nodes: DataFrame, edges: DataFrame, m: int, fixed: list[list[str]] | None = None, extra: int = 0, start: list[list[str]] | None = None) -> DataFrame:
+    """path_id, step, mer of complementary_ways()."""
+    return path_table(nodes.sparkSession, complementary_ways(nodes, edges, m, fixed, extra, start)[1])
+
+
+def random_way(edges: DataFrame, seed: str, start: str = BEGIN, stop: str = END, back: bool = False) -> list[str]:
+    """The nodes between start and stop on a random way: every node has chosen one successor (with `back` one predecessor) by a hash, and the choices are followed."""
+    near, far = ("dst", "src") if back else ("src", "dst")
+    chosen = edges.groupBy(F.col(near).alias("mer")).agg(F.min_by(far, F.struct(F.xxhash64(F.lit(seed), "src", "dst"), far)).alias("to"))
+    path = followed(chosen, start, stop)
+    if path is None:
+        raise ValueError(f"no way from {start} to {stop}")
+    return path
+
+
+def greedy_way(nodes: DataFrame, edges: DataFrame) -> list[str]:
+    """The way from BEGIN to END by the successor of the largest count (ties by name)."""
+    ranked = edges.join(nodes.select(F.col("mer").alias("dst"), "cnt"), "dst")
+    chosen = ranked.groupBy(F.col("src").alias("mer")).agg(F.min(F.struct((-F.col("cnt")).alias("n"), "dst"))["dst"].alias("to"))
+    path = followed(chosen, BEGIN, END)
+    if path is None:
+        raise ValueError("the best successors lead nowhere")
+    return path
+
+
+def half_kept_way(edges: DataFrame, path: list[str], seed: str) -> list[str]:
+    """A way that keeps a random beginning or a random end of a path and goes a random way for the rest."""
+    rng = random.Random(f"{seed}:half")
+    k = rng.randrange(len(path))
+    if rng.random() < 0.5:
+        return [*path[: k + 1], *random_way(edges, seed, path[k], END)]
+    return [*random_way(edges, seed, path[k], BEGIN, back=True)[::-1], *path[k:]]
 
 
 def way_facts(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

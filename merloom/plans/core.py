@@ -12,7 +12,7 @@ from merloom.functions import mers as M
 from merloom.functions.once import once
 from merloom.functions.residues import residues
 from merloom.operators import columns, coverage, decycle, filters, graph, greedy, offby, paths, raw_rows, tally
-from merloom.plans.design import Design, design
+from merloom.plans.design import Design, design, trial_facts
 from merloom.sources import readers, writers
 from merloom.storage import shared_dir, spread, written
 from merloom.streaming.tally import windowed_tally
@@ -42,10 +42,6 @@ def _plain(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "sequences").where("seq is not null").select("ord", "name", F.regexp_replace("seq", "[^ -~]", "").alias("seq"))
 
 
-def _part(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("seq"))
-
-
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("name"), F.col("c_name").alias("seq"))
 
@@ -310,8 +306,8 @@ def kmer_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pool_quarter(spark: SparkSession, d: str) -> DataFrame:
-    rows = _part(spark, d)
-    return greedy.best_quarter(greedy.scores(greedy.long_mers(rows, 6), tally.mer_tally(rows, 4), 4))
+    rows = _population(spark, d)
+    return greedy.best_quarter(written(greedy.scores(greedy.long_mers(rows, K), tally.mer_tally(rows, E), E), "scores"))
 
 
 def union_score(spark: SparkSession, d: str) -> DataFrame:
@@ -323,6 +319,28 @@ def greedy_kmers(spark: SparkSession, d: str) -> DataFrame:
     return greedy.top_mers(_population(spark, d), K, E, 3)
 
 
+def refined_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """What the rounds are held to: as many picks as asked for, their gains add up to what they cover together, and it is no less than the greedy picks cover."""
+    rows = _population(spark, d)
+    counts = written(tally.mer_tally(rows, E, rmx=False, rmdash=False), "tally")
+    members = greedy.member_counts(rows, K, E)
+    picks = greedy.refined(members, 3, 1)
+    pool = spark.createDataFrame(picks, "kmer string, gain bigint")
+    facts = pool.agg(F.count("*").alias("picks"), F.sum("gain").alias("total"))
+    first = sum(s for _, s in greedy.greedy(members, 3))
+    return facts.select("picks", (F.col("total") == greedy.union_score(pool, counts, E).scalar()).alias("adds_up"), (F.col("total") >= first).alias("no_less"), F.lit(first).cast("bigint").alias("greedy_score"))
+
+
+def offby_shares(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.offby_shares(_population(spark, d), _antigens(spark, d), E, 1, True).withColumn("share", F.round("share", 9))
+
+
+def design_trial_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Three trials: the best never falls, and no trial covers less than nothing."""
+    facts = trial_facts(_population(spark, d), Design(e=E, m=2, trials=3))
+    return facts.select("trial", (F.col("score") > 0).alias("covers"), (F.col("best") >= F.col("score")).alias("best_kept"))
+
+
 def _round_trip(spark: SparkSession, d: str, ending: str) -> DataFrame:
     rows = _population(spark, d).select("ord", F.regexp_replace(F.coalesce("name", F.lit("none")), "[^!-~]", "").alias("name"), "seq").where("seq <> '' and name <> ''")
     path = f"{shared_dir(spark)}/merloom-{uuid.uuid4().hex}.{ending}"
@@ -440,6 +458,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pool_quarter": pool_quarter,
     "union_score": union_score,
     "greedy_kmers": greedy_kmers,
+    "refined_kmers": refined_kmers,
+    "offby_shares": offby_shares,
+    "design_trial_scores": design_trial_scores,
     "source_fasta": source_fasta,
     "source_fasta_gz": source_fasta_gz,
     "source_mase": source_mase,
@@ -467,7 +488,6 @@ _POP = "pop AS (SELECT ord, name, regexp_replace(upper(seq), '[^A-Z]', '', 'g')
 _ANT = "ant AS (SELECT row_number() OVER (ORDER BY ord) AS k, name, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS seq FROM antigens WHERE seq IS NOT NULL)"
 _GAP = "gap AS (SELECT ord, name, regexp_replace(upper(seq), '[^A-Z-]', '', 'g') AS seq FROM sequences WHERE seq IS NOT NULL)"
 _PLAIN = "plain AS (SELECT ord, name, regexp_replace(seq, '[^ -~]', '', 'g') AS seq FROM sequences WHERE seq IS NOT NULL)"
-_PART = "part4 AS (SELECT p_partkey AS ord, p_name AS name, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS seq FROM part)"
 _WEIGHTS = "wt AS (SELECT name, arg_max(weight, line_no) AS weight FROM weights WHERE name IS NOT NULL AND weight IS NOT NULL GROUP BY name)"
 _CUST = "cust AS (SELECT c_custkey AS ord, c_name AS seq FROM customer)"
 _CUSTGAP = "cust AS (SELECT c_custkey AS ord, translate(c_name, '0e', '--') AS seq FROM customer)"
@@ -520,7 +540,6 @@ _PATHS = f"""{_FORWARD}, walk AS (SELECT '==BEGIN==' AS mer, CAST(0 AS BIGINT) A
 best AS (SELECT mer, v, w FROM walk UNION ALL SELECT '===END===', max(v), max(w) FROM walk JOIN forward e ON e.src = walk.mer AND e.dst = '===END===')"""
 _KMERS = f"kmers AS (SELECT DISTINCT unnest({{w}}) AS kmer FROM {{t}}), mem AS (SELECT kmer, unnest(list_distinct({{s}})) AS mer FROM kmers)"
 _LONG = _KMERS.format(w=_windows("seq", 15), t="pop", s=_windows("kmer", 9))
-_SIX = _KMERS.format(w=_windows("seq", 6), t="part4", s=_windows("kmer", 4))
 _SOURCE = f"WITH {_POP}, r AS (SELECT regexp_replace(coalesce(name, 'none'), '[^!-~]', '', 'g') AS name, seq FROM pop WHERE seq <> '')"
 _GREEDY = f"""WITH {_TALLY}, {_LONG}, sc AS (SELECT kmer, mer, coalesce(cnt, 0) AS cnt FROM mem LEFT JOIN tally USING (mer)),
 p1 AS (SELECT 1 AS pick, kmer, CAST(sum(cnt) AS BIGINT) AS score FROM sc GROUP BY kmer ORDER BY score DESC, kmer LIMIT 1),
@@ -588,7 +607,10 @@ SQL: dict[str, str] = {
     "best_node_values": _PATHS + " SELECT mer, v AS value FROM best",
     "path_bandwidth": _PATHS + " SELECT w AS score FROM best WHERE mer = '===END==='",
     "kmer_scores": f"WITH {_TALLY}, {_LONG} SELECT kmer, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS score FROM mem LEFT JOIN tally USING (mer) GROUP BY kmer",
-    "pool_quarter": f"WITH {_PART}, {_sets('part4', 4, 'ord')}, tally AS (SELECT mer, count(*) AS cnt FROM m GROUP BY mer), {_SIX}, s AS (SELECT kmer, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS score FROM mem LEFT JOIN tally USING (mer) GROUP BY kmer) SELECT kmer, score FROM s QUALIFY row_number() OVER (ORDER BY score DESC, kmer) <= (SELECT count(*) FROM s) // 4",
+    "pool_quarter": f"WITH {_TALLY}, {_LONG}, s AS (SELECT kmer, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS score FROM mem LEFT JOIN tally USING (mer) GROUP BY kmer) SELECT kmer, score FROM s QUALIFY row_number() OVER (ORDER BY score DESC, kmer) <= (SELECT count(*) FROM s) // 4",
+    "refined_kmers": f"WITH g AS ({_GREEDY}) SELECT count(*) AS picks, true AS adds_up, true AS no_less, CAST(sum(score) AS BIGINT) AS greedy_score FROM g",
+    "offby_shares": _NEAR + ", best AS (SELECT n.near_mer AS mer, d.dist, min(f.k) AS k FROM near n JOIN first f USING (mer) JOIN (VALUES (0), (1)) d(dist) ON n.dist <= d.dist GROUP BY 1, 2), g AS (SELECT b.dist, b.k, sum(cnt) AS cnt FROM best b JOIN tally USING (mer) GROUP BY 1, 2), c AS (SELECT CAST(a.k AS INT) AS k, d.dist, CAST((SELECT coalesce(sum(cnt), 0) FROM g WHERE g.dist = d.dist AND g.k <= a.k) AS BIGINT) AS covered, CAST((SELECT sum(cnt) FROM tally) AS BIGINT) AS total FROM ant a, (VALUES (0), (1)) d(dist)) SELECT *, round(covered / total, 9) AS share FROM c",
+    "design_trial_scores": "SELECT CAST(unnest([0, 1, 2]) AS INT) AS trial, true AS covers, true AS best_kept",
     "union_score": f"WITH {_TALLY}, a AS (SELECT regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS seq FROM antigens WHERE seq IS NOT NULL), t AS (SELECT DISTINCT unnest(list_transform(range(0, greatest(CAST(ceil(1 + (length(seq) - 15) / 7.0) AS BIGINT), 0)), lambda i: substring(seq, i * 7 + 1, 15))) AS kmer FROM a), u AS (SELECT DISTINCT unnest({_windows('kmer', 9)}) AS mer FROM t) SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS score FROM u JOIN tally USING (mer)",
     "greedy_kmers": _GREEDY,
     "source_fasta": _SOURCE + " SELECT name, seq FROM r WHERE name <> ''",

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from merloom.functions.mers import mers
 from merloom.operators import decycle, filters, graph, paths, tally
+from merloom.operators.contract import contracted
 from merloom.storage import written
 
 
 @dataclass
 class Design:
-    """Parameters: mer length, number of sequences, counts that are too low, edge cost, and how filters and turns work."""
+    """Parameters: mer length, number of sequences, counts that are too low, edge cost, how filters and turns work, and sequences to start with: fixed ones stay, hints may be replaced; names go to the first results."""
 
     e: int = 9
     m: int = 3
@@ -30,6 +31,8 @@ class Design:
     span: tuple[int, int] | None = None
     seed: int = 1
     fixed: list[str] = field(default_factory=list)
+    hints: list[str] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
 
 
 def design_graph(population: DataFrame, p: Design, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
@@ -52,46 +55,69 @@ def design_graph(population: DataFrame, p: Design, weights: DataFrame | None = N
     return written(nodes.join(placed.select("mer"), "mer", "left_semi"), "nodes"), edges, float(total)
 
 
-def random_path(edges: DataFrame, seed: int, begin: str = graph.BEGIN) -> list[str]:
-    """A walk to END by random successors; each step reads the successors of one node."""
-    rng, path, here = random.Random(f"{seed}:walk"), [], begin
-    while True:
-        after = [r["dst"] for r in edges.where(F.col("src") == here).select("dst").orderBy("dst").collect()]
-        if not after:
-            raise ValueError(f"{here} has no successor")
-        here = rng.choice(after)
-        if here == graph.END:
-            return path
-        path.append(here)
+def _ways(population: DataFrame, texts: list[str], p: Design) -> list[list[str]]:
+    """The mers of given texts in order."""
+    if not texts:
+        return []
+    seq = F.reverse("s") if p.reverse else F.col("s")
+    rows = population.sparkSession.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", mers(seq, p.e).alias("m"))
+    return [r["m"] for r in rows.orderBy("i").collect()]
 
 
-def greedy_path(nodes: DataFrame, edges: DataFrame) -> list[str]:
-    """A walk to END by the successor of the largest count (ties by name)."""
-    ranked = edges.join(nodes.select(F.col("mer").alias("dst"), "cnt"), "dst")
-    path, here = [], graph.BEGIN
-    while (row := ranked.where(F.col("src") == here).orderBy(F.desc("cnt"), "dst").first()) is not None:
-        here = row["dst"]
-        if here == graph.END:
-            return path
-        path.append(here)
-    raise ValueError(f"{here} has no successor")
+def design_trials(population: DataFrame, p: Design, weights: DataFrame | None = None) -> tuple[float, list[float], list[list[str]]]:
+    """The total of counts, the score of each trial, and the ways of the best.
+
+    Trial 0 starts with the hints. Later odd trials start with a random way, even ones with a random one of the best
+    ways so far, of which a random part is kept and the rest goes a random way; all by the seed. A trial's ways count
+    only if they score strictly more than the best before.
+    """
+    if p.m == 1 and p.trials > 1:
+        raise ValueError("several trials need m above 1")
+    nodes, edges, total = design_graph(population, p, weights)
+    fixed, hints = _ways(population, p.fixed, p), _ways(population, p.hints, p)
+    chains, scores, best = contracted(edges), [], []
+    rng = random.Random(f"{p.seed}:trials")
+    for trial in range(p.trials):
+        seed = f"{p.seed}:{trial}"
+        free = [w for w in best[len(fixed) :] if w]
+        if not trial:
+            start = hints
+        elif trial % 2 or not free:
+            start = [paths.random_way(edges, seed)]
+        else:
+            # what starts with a hint may leave the graph, so only its nodes are gone on from
+            start = [paths.half_kept_way(edges, on, seed)] if (on := _inside(edges, rng.choice(free))) else [paths.random_way(edges, seed)]
+        score, ways = paths.complementary_ways(nodes, edges, p.m, fixed, p.extra, start, chains)
+        if not scores or score > max(scores):
+            best = ways
+        scores.append(score)
+    return total, scores, best
+
+
+def _inside(edges: DataFrame, way: list[str]) -> list[str]:
+    """The way if all its steps are edges, else nothing."""
+    steps = list(zip([graph.BEGIN, *way], [*way, graph.END], strict=True))
+    known = edges.join(F.broadcast(edges.sparkSession.createDataFrame(sorted(set(steps)), "src string, dst string")), ["src", "dst"], "left_semi").count()
+    return way if known == len(set(steps)) else []
 
 
 def design(population: DataFrame, p: Design, weights: DataFrame | None = None) -> DataFrame:
-    """path_id, name, seq, share: the designed sequences (names EG-0, EG-1, ...) and the share of all counts that they cover together.
+    """path_id, name, seq, share: the designed sequences and the share of all counts that they cover together.
 
-    `fixed` sequences come first and stay. Trial t has t more turns than the first, from the same start; the best
-    total wins. There may be fewer than m sequences, if no other way gains.
+    `fixed` sequences come first and stay. The best of p.trials trials wins, see design_trials(). Names are those given,
+    in order, then EG-k. There may be fewer than m sequences, if no other way gains.
     """
-    nodes, edges, total = design_graph(population, p, weights)
+    total, scores, ways = design_trials(population, p, weights)
     spark = population.sparkSession
-    fixed = [r["m"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(p.fixed)], "i int, s string").select("i", mers(F.col("s"), p.e).alias("m")).orderBy("i").collect()]
-    best, score = None, -1.0
-    for trial in range(p.trials):
-        ways = written(paths.complementary_paths(nodes, edges, p.m, fixed, p.extra + trial), "ways")
-        new = float(paths.path_scores(nodes, ways).first()[0])
-        if new > score:
-            best, score = ways, new
-    text = paths.paths_to_text(best)
+    text = paths.paths_to_text(paths.path_table(spark, ways))
     text = text.withColumn("seq", F.reverse("seq")) if p.reverse else text
-    return text.select("path_id", F.concat(F.lit("EG-"), F.col("path_id").cast("string")).alias("name"), "seq", F.lit(score / total).alias("share"))
+    given = F.array(*map(F.lit, p.names)).cast("array<string>")
+    name = F.coalesce(F.get(given, F.col("path_id")), F.concat(F.lit("EG-"), F.col("path_id").cast("string")))
+    return text.select("path_id", name.alias("name"), "seq", F.lit(max(scores) / total).alias("share"))
+
+
+def trial_facts(population: DataFrame, p: Design) -> DataFrame:
+    """trial, score, best: the score of each trial and the best up to it."""
+    _, scores, _ = design_trials(population, p)
+    rows = [(t, float(s), float(max(scores[: t + 1]))) for t, s in enumerate(scores)]
+    return population.sparkSession.createDataFrame(rows, "trial int, score double, best double")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from merloom.storage import written
+
 #: File name endings of each format; each may be followed by .gz or .xz.
 ENDINGS = {"fasta": ("fasta", "fa", "fst", "fna", "faa"), "mase": ("mase",), "tbl": ("tbl", "table"), "seq": ("seq",), "names": ("nm",), "parquet": ("parquet",)}
 
@@ -44,7 +46,8 @@ def _records(spark: SparkSession, path: str, separator: str | None) -> DataFrame
 
 def _in_order(df: DataFrame) -> DataFrame:
     """ord from the place, unique and rising: rows are range-partitioned by place and numbered by partition."""
-    parts = df.repartitionByRange("place").sortWithinPartitions("place").withColumn("_p", F.spark_partition_id())
+    # written, as the numbers of partitions must be the same whenever the rows are read
+    parts = written(df.repartitionByRange("place").withColumn("_p", F.spark_partition_id()), "places")
     n = F.row_number().over(Window.partitionBy("_p").orderBy("place")) - 1
     return parts.withColumn("ord", F.shiftleft(F.col("_p").cast("bigint"), 40) + n).select("ord", "name", "seq")
 

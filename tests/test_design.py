@@ -1,6 +1,7 @@
 import pytest
 
-from merloom.plans.design import Design, design, design_graph, greedy_path, random_path
+from merloom.operators.paths import greedy_way, half_kept_way, random_way
+from merloom.plans.design import Design, design, design_graph, design_trials
 
 
 def _seqs(spark, *texts):
@@ -9,12 +10,23 @@ def _seqs(spark, *texts):
 
 def test_design_covers_two_families(spark):
     df = _seqs(spark, "ABCDEFG", "ABCDEFG", "ABCDEFG", "QRSTUVW", "QRSTUVW", "ABCAB", "", None)
-    got = design(df, Design(e=3, m=2)).orderBy("path_id").collect()
+    got = design(df, Design(e=3, m=2, hints=["ABCDEFG"], names=["first"])).orderBy("path_id").collect()
     assert {r["seq"] for r in got} == {"ABCDEFG", "QRSTUVW"}
-    assert got[0]["name"] == "EG-0" and 0 < got[0]["share"] <= 1
+    assert [r["name"] for r in got] == ["first", "EG-1"] and 0 < got[0]["share"] <= 1
     nodes, edges, _ = design_graph(df, Design(e=3))
-    assert greedy_path(nodes, edges)[0] == "ABC"
-    assert random_path(edges, 3)[0] in ("ABC", "QRS")
+    assert greedy_way(nodes, edges)[0] == "ABC"
+    path = random_way(edges, "3")
+    assert path in (["ABC", "BCD", "CDE", "DEF", "EFG"], ["QRS", "RST", "STU", "TUV", "UVW"])
+    assert half_kept_way(edges, path, "5") == path
+
+
+def test_trials_start_anew(spark):
+    """A later trial starts from a random way, and the best is kept."""
+    df = _seqs(spark, "ABCDEF", "ABCXEF", "QBCDRS", "ABCDRS")
+    total, scores, ways = design_trials(df, Design(e=3, m=2, trials=2))
+    assert len(scores) == 2 and len(ways) == 2 and 0 < max(scores) <= total
+    with pytest.raises(ValueError):
+        design_trials(df, Design(e=3, m=1, trials=2))
 
 
 def test_design_of_nothing(spark):

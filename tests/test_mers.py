@@ -151,8 +151,10 @@ def test_greedy_gain_is_recomputed_score(spark):
     pool = spark.createDataFrame([(m,) for m, _ in picks], "kmer string")
     assert greedy.union_score(pool, tally.mer_tally(df, 3), 3).first()[0] == sum(s for _, s in picks)
     assert picks[0][0] == "ABCDE"
-    refined = greedy.refined(members, 3, 2)
+    refined = greedy.refined(members, 3, 1)
     assert sum(s for _, s in refined) >= sum(s for _, s in picks)
+    top = greedy.top_mers(df, 5, 3, 3, initial=_seqs(spark, "ZBCDE")).orderBy("pick").collect()
+    assert top[0]["kmer"] == "ZBCDE" and top[0]["score"] == 5 and len(top) == 3
 
 
 def test_curves_of_an_empty_population(spark):
