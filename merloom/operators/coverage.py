@@ -120,7 +120,8 @@ def bootstrap(population: DataFrame, antigens: DataFrame, e: int, resamples: int
     """
     first = first_antigen(antigens, e)
     rows = exploded(population, "seq", e, ["ord"]).join(first, "mer", "left").groupBy("ord", "k").agg(F.count("*").alias("n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "ord"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    drawn_by = F.md5(F.concat_ws(":", F.lit(seed), "b", "ord"))
+    u = (F.conv(F.substring(drawn_by, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     cdf, p, total = [], 0.36787944117144233, 0.0
     for k in range(12):
         total += p

@@ -114,7 +114,8 @@ def first_rows(df: DataFrame, m: int | None) -> DataFrame:
 def drawn(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows drawn with replacement: (draw, ord, name, seq). The rows are numbered by partition and place, without a sort in one task."""
     rows = numbered(df)
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(F.rand(seed) * df.count()).cast("bigint").alias("_n"))
+    drawn_by = F.md5(F.concat_ws(":", F.lit(seed), F.col("id")))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.conv(F.substring(drawn_by, 1, 15), 16, 10).cast("bigint"), F.lit(max(1, df.count()))).alias("_n"))
     return draws.join(rows, "_n").drop("_n")
 
 
