@@ -116,3 +116,15 @@ def pack(items: DataFrame, requests: DataFrame, request_col: str = "request_id",
 def containers(df: DataFrame, requests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **where: str) -> DataFrame:
     """pack() for texts measured in tokens; null and empty texts have 0 tokens."""
     return pack(token_counts(df, id_col, text_col, **where), requests)
+
+
+def packing_facts(placed: DataFrame, requests: DataFrame, request_col: str = "request_id", amount_col: str = "amount") -> DataFrame:
+    """request_id, items, over, torn: of the rows of pack(), how many items each request has, how many containers hold more than the capacity, and how many items are split though they fit or are not whole and in order."""
+    capacity = requests.select(F.col(request_col).cast("int").alias("request_id"), F.col(amount_col).cast("bigint").alias("capacity")).distinct()
+    sums = placed.groupBy("request_id", "container").agg(F.sum("tokens").alias("used")).join(F.broadcast(capacity), "request_id")
+    over = sums.groupBy("request_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("over"))
+    pieces = placed.groupBy("request_id", "id").agg(F.count("*").alias("n"), F.max("piece_no").alias("last"), F.sum("tokens").alias("whole"), F.max(F.col("piece_start") + F.col("tokens")).alias("end"))
+    pieces = pieces.join(F.broadcast(capacity), "request_id")
+    torn = (F.col("last") != F.col("n") - 1) | (F.col("end") != F.col("whole")) | ((F.col("n") > 1) & (F.col("whole") <= F.col("capacity")))
+    items = pieces.groupBy("request_id").agg(F.count("*").alias("items"), F.count_if(torn).alias("torn"))
+    return items.join(over, "request_id").select("request_id", "items", "over", "torn")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.llm import format_dup, language, leaders, near_dup, packing, spans, terms, tokens, varied
-from merloom.storage import spread
+from merloom.storage import spread, written
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -75,11 +75,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: what the ids stand for."""
+    return tokens.texts_of(tokens.token_ids(_t(spark, d, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'container'")
     return packing.containers(_t(spark, d, "documents"), wanted).withColumnRenamed("id", "doc_id")
 
 
+def p9_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers are held to."""
+    wanted = spark.read.parquet(f"{d}/size_requests.parquet").where("purpose = 'container'")
+    return packing.packing_facts(written(packing.containers(_t(spark, d, "documents"), wanted), "placed"), wanted)
+
+
 _networks: dict[tuple, language.Network] = {}
 
 
@@ -116,7 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_top": p7_top,
     "p8_ids": p8_ids,
+    "p8_texts": p8_texts,
     "p9_containers": p9_containers,
+    "p9_facts": p9_facts,
     "p10_found": p10_found,
     "p10_languages": p10_languages,
 }
@@ -142,11 +155,29 @@ h AS (SELECT ord, i, lag(i) OVER (PARTITION BY ord ORDER BY i) AS p FROM w SEMI
 g AS (SELECT ord, i, sum(CASE WHEN p IS NULL OR i > p + 25 THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY i) AS part FROM h),
 f AS (SELECT ord, min(i) AS span_start, max(i) + 25 - min(i) AS span_len FROM g GROUP BY ord, part)
 """
+# the same bins and orders as in varied.py, for at least 20 residues
+_VARIED = f"""
+WITH r AS (SELECT ord, upper(trim(name, ' ')) AS n, coalesce({_RES}, '') AS s FROM sequences WHERE ord IS NOT NULL),
+c AS (SELECT ord, s, CASE WHEN contains(n, '|') THEN trim(split_part(n, '|', 2), ' ') WHEN regexp_matches(n, '[._]') THEN regexp_extract(n, '^[^._]*') END AS code FROM r),
+d AS (SELECT ord, s, length(s) >= 20 AS full_, CASE WHEN regexp_full_match(code, '[A-Z][A-Z0-9]{{0,7}}') THEN code ELSE '' END AS clade FROM c),
+b AS (SELECT ord, s, clade, CASE WHEN full_ THEN CAST('0x' || left(md5(clade), 8) AS BIGINT) % {varied.CLADE_BINS} ELSE -1 END AS b0,
+  CASE WHEN full_ THEN len(list_filter({varied.length_steps(20)}, lambda x: length(s) >= x)) ELSE -1 END AS b1,
+  CASE WHEN full_ THEN least(floor((1 - length(translate(s, 'AVILMFWYC', '')) / greatest(length(s), 1)) * 2 * 4), 3)::INT ELSE -1 END AS b2,
+  CASE WHEN full_ THEN least(floor((1 - length(translate(s, 'DEKRH', '')) / greatest(length(s), 1)) * 2 * 4), 3)::INT ELSE -1 END AS b3 FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ord) AS copy FROM b),
+k AS (SELECT b0, b1, b2, b3, row_number() OVER (PARTITION BY b0 ORDER BY count(*) DESC, md5(concat_ws(':', b0, b1, b2, b3))) AS turn FROM p GROUP BY b0, b1, b2, b3),
+m AS (SELECT b0, b1, b2, b3, row_number() OVER (ORDER BY turn, md5(CAST(b0 AS VARCHAR))) AS cell_no FROM k),
+o AS (SELECT ord, clade, CAST(cell_no AS INT) AS cell_no, row_number() OVER (PARTITION BY cell_no ORDER BY copy, md5(s), ord) AS rank_in_cell FROM p JOIN m USING (b0, b1, b2, b3))
+"""
 _TALLY = "WITH t AS (SELECT upper(mer) AS mer, CAST(sum(cnt) AS BIGINT) AS total FROM mer_tally WHERE mer IS NOT NULL AND cnt IS NOT NULL GROUP BY 1) "
 
 SQL: dict[str, str] = {
     "p2_found": _FORMS + "SELECT keep_ord, ord AS copy_ord FROM c JOIN g USING (chains) WHERE ord <> keep_ord",
     "p2_groups": _FORMS + "SELECT keep_ord, copies FROM g",
+    "p3_order": _VARIED + "SELECT ord, clade, cell_no, rank_in_cell FROM o",
+    "p3_subsets": _VARIED + ", w AS (SELECT DISTINCT request_id, amount FROM size_requests WHERE purpose = 'subset'), q AS (SELECT *, row_number() OVER (ORDER BY rank_in_cell, cell_no) AS place FROM o) SELECT request_id, rank_in_cell, cell_no, ord, clade FROM q JOIN w ON place <= amount",
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_facts": "SELECT request_id, (SELECT count(*) FROM documents) AS items, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS torn FROM size_requests WHERE purpose = 'container'",
     "p4_found": _TERMS + "SELECT mer, mark FROM k WHERE mark IS NOT NULL",
     "p4_counts": _TERMS + "SELECT mer, count, records, mark FROM k",
     "p5_found": _SPANS + "SELECT ord, span_start, span_len FROM f",

@@ -315,3 +315,23 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, tokens: the number of tokens of each text, 0 for null and empty ones."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
     return _rows(df, id_col, text_col).mapInArrow(lambda it: _encoded(it, shared, False), "id bigint, tokens bigint")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    size, data = shared.value
+    start = np.cumsum(size) - size
+    for batch in batches:
+        lists = batch.column(1).cast(pa.large_list(pa.int64())) if batch.column(1).type != pa.large_list(pa.int64()) else batch.column(1)
+        ids, edge = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())]
+        ends = np.r_[0, np.cumsum(size[ids])][edge].astype(np.int64)
+        text = data[spread(start[ids], size[ids])]
+        texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.string())], ["id", "text"])
+
+
+def texts_of(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """id, text: what lists of token ids stand for; null and empty lists give an empty text."""
+    tokens, _ = load_vocabulary(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast((np.array([len(t) for t in tokens], np.int64), np.frombuffer(b"".join(tokens), np.uint8)))
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<bigint>").alias("ids"))
+    return rows.mapInArrow(lambda it: _decoded(it, shared), "id bigint, text string")

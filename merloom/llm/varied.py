@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def clade(name: Column) -> Column:
     return F.coalesce(F.when(code.rlike("^[A-Z][A-Z0-9]{0,7}$"), code), F.lit(""))
 
 
+def _bin(text: Column, bins: int) -> Column:
+    """A bin by the text's MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(bins)).cast("int")
+
+
+def length_steps(least: int) -> list[int]:
+    """The lengths at which the length bins after the first begin: four for each doubling from `least` on."""
+    return [math.ceil(least * 2 ** (k / 4)) for k in range(1, LENGTH_BINS)]
+
+
 def _share(text: Column, letters: str) -> Column:
     return F.least(F.floor((1 - F.length(F.translate(text, letters, "")) / F.greatest(F.length(text), F.lit(1))) * 2 * SHARE_BINS), F.lit(SHARE_BINS - 1)).cast("int")
 
@@ -46,25 +58,25 @@ def grid(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: st
     bins = (rows if whole else rows.where(full)).select(
         "id",
         "clade",
-        F.when(full, F.pmod(F.xxhash64("clade"), F.lit(CLADE_BINS)).cast("int")).otherwise(-1).alias("b0"),
-        F.when(full, F.least(F.floor(F.log2(F.length("text") / least) * 4), F.lit(LENGTH_BINS - 1)).cast("int")).otherwise(-1).alias("b1"),
+        F.when(full, _bin(F.col("clade"), CLADE_BINS)).otherwise(-1).alias("b0"),
+        F.when(full, sum((F.length("text") >= n).cast("int") for n in length_steps(least))).otherwise(-1).alias("b1"),
         F.when(full, _share(F.col("text"), "AVILMFWYC")).otherwise(-1).alias("b2"),
         F.when(full, _share(F.col("text"), "DEKRH")).otherwise(-1).alias("b3"),
         F.unhex(F.md5("text")).alias("key"),
     )
     if whole:
         cell = F.struct(*(F.col(f"b{k}") for k in range(4)))
-        return _numbered(bins, "key", ["id"], "copy").select("id", "clade", cell.alias("cell"), "copy", F.xxhash64("key").alias("mix"))
+        return _numbered(bins, "key", ["id"], "copy").select("id", "clade", cell.alias("cell"), "copy", F.col("key").alias("mix"))
     one = bins.groupBy("key").agg(F.min(F.struct("id", "clade", "b0", "b1", "b2", "b3")).alias("r"))
     cell = F.struct(*(F.col(f"r.b{k}") for k in range(4)))
-    return one.select("r.id", "r.clade", cell.alias("cell"), F.lit(1).alias("copy"), F.xxhash64("key").alias("mix"))
+    return one.select("r.id", "r.clade", cell.alias("cell"), F.lit(1).alias("copy"), F.col("key").alias("mix"))
 
 
 def numbered_cells(points: DataFrame) -> DataFrame:
     """cell, size, cell_no: cells in turn over the clades, the largest cell of each first. The grid bounds the number of cells, so these windows are small."""
     sizes = points.groupBy("cell").agg(F.count("*").alias("size"))
-    turn = F.row_number().over(Window.partitionBy("cell.b0").orderBy(F.desc("size"), F.xxhash64("cell"), "cell"))
-    return sizes.withColumn("turn", turn).withColumn("cell_no", F.row_number().over(Window.orderBy("turn", F.xxhash64("cell.b0"), "cell.b0"))).drop("turn")
+    turn = F.row_number().over(Window.partitionBy("cell.b0").orderBy(F.desc("size"), F.md5(F.concat_ws(":", "cell.b0", "cell.b1", "cell.b2", "cell.b3"))))
+    return sizes.withColumn("turn", turn).withColumn("cell_no", F.row_number().over(Window.orderBy("turn", F.md5(F.col("cell.b0").cast("string"))))).drop("turn")
 
 
 def varied_order(df: DataFrame, id_col: str = "ord", name_col: str = "name", seq_col: str = "seq", least: int = 20, whole: bool = False) -> DataFrame:
