@@ -19,7 +19,7 @@ from merloom.operators.contract import HOPS, contracted, edges_of, steps_from
 from merloom.storage import forget, written
 
 #: Links of a strongly connected part that one task takes; larger parts are cut first.
-TASK_LINKS = 10_000
+TASK_LINKS = 4_000
 #: Rounds of peeling before labels are spread; more only make the parts smaller.
 PEELED = 2
 #: Levels at which a large part may be cut: these shares of its nodes lie below.

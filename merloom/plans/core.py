@@ -12,9 +12,9 @@ from merloom.functions import mers as M
 from merloom.functions.once import once
 from merloom.functions.residues import residues
 from merloom.operators import columns, coverage, decycle, filters, graph, greedy, offby, paths, raw_rows, tally
-from merloom.plans.design import Design, design, trial_facts
+from merloom.plans.design import Design, design
 from merloom.sources import readers, writers
-from merloom.storage import shared_dir, spread, written
+from merloom.storage import exists, shared_dir, spread, written
 from merloom.streaming.tally import windowed_tally
 
 #: Lengths of short and long mers.
@@ -213,17 +213,36 @@ def relative_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ord", M.relative_name(F.lit(master), F.col("seq")).alias("relative"))
 
 
+_kept: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """The written tables that make() gives, made once for the same files in one application, while they are there."""
+    key = (spark.sparkContext.applicationId, name, *sorted(_t(spark, d, "sequences").inputFiles()))
+    if key not in _kept or not all(exists(t) for t in _kept[key]):
+        _kept[key] = make()
+    return _kept[key]
+
+
 def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The mer graph of the whole population."""
-    rows = _population(spark, d)
-    nodes, edges, _ = graph.from_rows(rows, written(tally.mer_tally(rows, E), "tally"), E)
-    return written(nodes, "nodes"), written(edges, "edges")
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        rows = _population(spark, d)
+        nodes, edges, _ = graph.from_rows(rows, written(tally.mer_tally(rows, E), "tally"), E)
+        return written(nodes, "nodes"), written(edges, "edges")
+
+    return _once(spark, d, "graph", make)
+
+
+def graph_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "levels", lambda: (graph.levels(graph_tables(spark, d)[1]),))[0]
 
 
 def forward_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Its nodes, and the edges that lead up a level or to END."""
     nodes, edges = graph_tables(spark, d)
-    return nodes, written(graph.forward(edges, graph.levels(edges)), "forward")
+    return nodes, _once(spark, d, "forward", lambda: (written(graph.forward(edges, graph_levels(spark, d)), "forward"),))[0]
 
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +259,7 @@ def sequence_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 def edge_costs(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = graph_tables(spark, d)
-    return graph.edge_costs(nodes, edges, graph.levels(edges))
+    return graph.edge_costs(nodes, edges, graph_levels(spark, d))
 
 
 def low_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +272,7 @@ def weak_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.levels(graph_tables(spark, d)[1])
+    return graph_levels(spark, d)
 
 
 def forward_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -284,20 +303,21 @@ def path_bandwidth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def complementary_paths(spark: SparkSession, d: str) -> DataFrame:
-    """What three complementary ways are held to: each is a way from BEGIN to END, and the first has the best score."""
+    """What two complementary ways are held to: each is a way from BEGIN to END, and the first has the best score."""
     nodes, edges = forward_tables(spark, d)
-    ways = paths.complementary_paths(nodes, edges, 3)
+    ways = paths.complementary_paths(nodes, edges, 2)
     return paths.way_facts(ways, nodes, edges)
 
 
 def design_antigens(spark: SparkSession, d: str) -> DataFrame:
-    return design(_population(spark, d), Design(e=E, m=2)).withColumn("share", F.round("share", 9))
+    """Two sequences from mers that more than two records hold, the best of two trials."""
+    return design(_population(spark, d), Design(e=E, m=2, trials=2, low_nodes=2)).withColumn("share", F.round("share", 9))
 
 
 def decycle_removed(spark: SparkSession, d: str) -> DataFrame:
     """What the removal of cycles is held to: how many edges there were, and how many are still on a cycle."""
     nodes, edges = graph_tables(spark, d)
-    costs = graph.edge_costs(nodes, edges, graph.levels(edges), ["rss"]).withColumnRenamed("rss", "cost")
+    costs = graph.edge_costs(nodes, edges, graph_levels(spark, d), ["rss"]).withColumnRenamed("rss", "cost")
     return decycle.removal_facts(written(costs, "costs"))
 
 
@@ -336,12 +356,6 @@ def offby_shares(spark: SparkSession, d: str) -> DataFrame:
     return coverage.offby_shares(_population(spark, d), _antigens(spark, d), E, 1, True).withColumn("share", F.round("share", 9))
 
 
-def design_trial_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Three trials: the best never falls, and no trial covers less than nothing."""
-    facts = trial_facts(_population(spark, d), Design(e=E, m=2, trials=3))
-    return facts.select("trial", (F.col("score") > 0).alias("covers"), (F.col("best") >= F.col("score")).alias("best_kept"))
-
-
 def _round_trip(spark: SparkSession, d: str, ending: str) -> DataFrame:
     rows = _population(spark, d).select("ord", F.regexp_replace(F.coalesce("name", F.lit("none")), "[^!-~]", "").alias("name"), "seq").where("seq <> '' and name <> ''")
     path = f"{shared_dir(spark)}/merloom-{uuid.uuid4().hex}.{ending}"
@@ -443,25 +457,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_nodes": graph_nodes,
     "graph_edges": graph_edges,
     "sequence_overlaps": sequence_overlaps,
-    "edge_costs": edge_costs,
     "low_edges": low_edges,
     "weak_nodes": weak_nodes,
-    "bfs_levels": bfs_levels,
-    "forward_edges": forward_edges,
-    "trim_dead": trim_dead,
-    "best_path_score": best_path_score,
-    "best_node_values": best_node_values,
-    "path_bandwidth": path_bandwidth,
-    "complementary_paths": complementary_paths,
-    "design_antigens": design_antigens,
-    "decycle_removed": decycle_removed,
     "kmer_scores": kmer_scores,
     "pool_quarter": pool_quarter,
     "union_score": union_score,
     "greedy_kmers": greedy_kmers,
-    "refined_kmers": refined_kmers,
     "offby_shares": offby_shares,
-    "design_trial_scores": design_trial_scores,
     "source_fasta": source_fasta,
     "source_fasta_gz": source_fasta_gz,
     "source_mase": source_mase,
@@ -472,6 +474,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "random_draws": random_draws,
 }
 
+#: Queries that take many rounds of jobs; they come last.
+LONG: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "bfs_levels": bfs_levels,
+    "edge_costs": edge_costs,
+    "forward_edges": forward_edges,
+    "best_path_score": best_path_score,
+    "best_node_values": best_node_values,
+    "path_bandwidth": path_bandwidth,
+    "trim_dead": trim_dead,
+    "refined_kmers": refined_kmers,
+    "complementary_paths": complementary_paths,
+    "decycle_removed": decycle_removed,
+    "design_antigens": design_antigens,
+}
+
 #: One regular expression for a well-quoted line, and DuckDB's view of its fields.
 _FIELD = '("[^"]*(""[^"]*)*"|[^",]*)'
 _RAW = f"""
@@ -612,7 +629,7 @@ SQL: dict[str, str] = {
     "bfs_levels": _LEVELS + " SELECT mer, ppos FROM levels",
     "forward_edges": _FORWARD + " SELECT src, dst FROM forward",
     "trim_dead": _TRIM + " SELECT src, dst FROM kept WHERE src IN (SELECT mer FROM down) AND dst IN (SELECT mer FROM up)",
-    "complementary_paths": _PATHS + ", p AS (SELECT unnest([0, 1, 2]) AS path_id) SELECT CAST(path_id AS INT) AS path_id, true AS whole, CAST((SELECT v FROM best WHERE mer = '===END===') AS BIGINT) AS first_score FROM p",
+    "complementary_paths": _PATHS + ", p AS (SELECT unnest([0, 1]) AS path_id) SELECT CAST(path_id AS INT) AS path_id, true AS whole, CAST((SELECT v FROM best WHERE mer = '===END===') AS BIGINT) AS first_score FROM p",
     "decycle_removed": f"WITH {_GRAPH} SELECT count(*) AS edges, CAST(0 AS BIGINT) AS left_on_cycles, true AS some_removed FROM edges",
     "best_path_score": _PATHS + " SELECT v AS score FROM best WHERE mer = '===END==='",
     "best_node_values": _PATHS + " SELECT mer, v AS value FROM best",
@@ -623,7 +640,6 @@ SQL: dict[str, str] = {
     "bootstrap_coverage": _BOOTSTRAP,
     "refined_kmers": f"WITH g AS ({_GREEDY}) SELECT count(*) AS picks, true AS adds_up, true AS no_less, CAST(sum(score) AS BIGINT) AS greedy_score FROM g",
     "offby_shares": _NEAR + ", best AS (SELECT n.near_mer AS mer, d.dist, min(f.k) AS k FROM near n JOIN first f USING (mer) JOIN (VALUES (0), (1)) d(dist) ON n.dist <= d.dist GROUP BY 1, 2), g AS (SELECT b.dist, b.k, sum(cnt) AS cnt FROM best b JOIN tally USING (mer) GROUP BY 1, 2), c AS (SELECT CAST(a.k AS INT) AS k, d.dist, CAST((SELECT coalesce(sum(cnt), 0) FROM g WHERE g.dist = d.dist AND g.k <= a.k) AS BIGINT) AS covered, CAST((SELECT sum(cnt) FROM tally) AS BIGINT) AS total FROM ant a, (VALUES (0), (1)) d(dist)) SELECT *, round(covered / total, 9) AS share FROM c",
-    "design_trial_scores": "SELECT CAST(unnest([0, 1, 2]) AS INT) AS trial, true AS covers, true AS best_kept",
     "union_score": f"WITH {_TALLY}, a AS (SELECT regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS seq FROM antigens WHERE seq IS NOT NULL), t AS (SELECT DISTINCT unnest(list_transform(range(0, greatest(CAST(ceil(1 + (length(seq) - 15) / 7.0) AS BIGINT), 0)), lambda i: substring(seq, i * 7 + 1, 15))) AS kmer FROM a), u AS (SELECT DISTINCT unnest({_windows('kmer', 9)}) AS mer FROM t) SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS score FROM u JOIN tally USING (mer)",
     "greedy_kmers": _GREEDY,
     "source_fasta": _SOURCE + " SELECT name, seq FROM r WHERE name <> ''",

@@ -115,9 +115,3 @@ def design(population: DataFrame, p: Design, weights: DataFrame | None = None) -
     name = F.coalesce(F.get(given, F.col("path_id")), F.concat(F.lit("EG-"), F.col("path_id").cast("string")))
     return text.select("path_id", name.alias("name"), "seq", F.lit(max(scores) / total).alias("share"))
 
-
-def trial_facts(population: DataFrame, p: Design) -> DataFrame:
-    """trial, score, best: the score of each trial and the best up to it."""
-    _, scores, _ = design_trials(population, p)
-    rows = [(t, float(s), float(max(scores[: t + 1]))) for t, s in enumerate(scores)]
-    return population.sparkSession.createDataFrame(rows, "trial int, score double, best double")

@@ -46,6 +46,13 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def exists(table: DataFrame) -> bool:
+    """Whether a table that written() made is still there."""
+    jvm = table.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(table._written_to)
+    return at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def bytes_of(df: DataFrame) -> float | None:
     """The bytes of df as Catalyst estimates them from its files; none if it can't."""
     size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
