@@ -1,7 +1,8 @@
 import pytest
 
+from merloom.operators.graph import BEGIN, END
 from merloom.operators.paths import greedy_way, half_kept_way, random_way
-from merloom.plans.design import Design, design, design_graph, design_trials
+from merloom.plans.design import Design, design
 
 
 def _seqs(spark, *texts):
@@ -9,24 +10,21 @@ def _seqs(spark, *texts):
 
 
 def test_design_covers_two_families(spark):
-    df = _seqs(spark, "ABCDEFG", "ABCDEFG", "ABCDEFG", "QRSTUVW", "QRSTUVW", "ABCAB", "", None)
-    got = design(df, Design(e=3, m=2, hints=["ABCDEFG"], names=["first"])).orderBy("path_id").collect()
-    assert {r["seq"] for r in got} == {"ABCDEFG", "QRSTUVW"}
+    """Hints and names are taken; a second trial starts from a random way."""
+    df = _seqs(spark, "ABCDE", "ABCDE", "QRSTU", "ABCAB", "", None)
+    got = design(df, Design(e=3, m=2, hints=["ABCDE"], names=["first"], trials=2)).orderBy("path_id").collect()
+    assert {r["seq"] for r in got} == {"ABCDE", "QRSTU"}
     assert [r["name"] for r in got] == ["first", "EG-1"] and 0 < got[0]["share"] <= 1
-    nodes, edges, _ = design_graph(df, Design(e=3))
-    assert greedy_way(nodes, edges)[0] == "ABC"
-    path = random_way(edges, "3")
-    assert path in (["ABC", "BCD", "CDE", "DEF", "EFG"], ["QRS", "RST", "STU", "TUV", "UVW"])
-    assert half_kept_way(edges, path, "5") == path
-
-
-def test_trials_start_anew(spark):
-    """A later trial starts from a random way, and the best is kept."""
-    df = _seqs(spark, "ABCDEF", "ABCXEF", "QBCDRS", "ABCDRS")
-    total, scores, ways = design_trials(df, Design(e=3, m=2, trials=2))
-    assert len(scores) == 2 and len(ways) == 2 and 0 < max(scores) <= total
     with pytest.raises(ValueError):
-        design_trials(df, Design(e=3, m=1, trials=2))
+        design(df, Design(e=3, m=1, trials=2))
+
+
+def test_random_and_greedy_ways(spark):
+    edges = spark.createDataFrame([(BEGIN, "a"), (BEGIN, "p"), ("a", "b"), ("b", END), ("p", "q"), ("q", END)], "src string, dst string")
+    nodes = spark.createDataFrame([("a", 1), ("b", 9), ("p", 2), ("q", 1), (BEGIN, 0), (END, 0)], "mer string, cnt bigint")
+    assert greedy_way(nodes, edges) == ["p", "q"]
+    assert random_way(edges, "3") in (["a", "b"], ["p", "q"])
+    assert half_kept_way(edges, ["a", "b"], "5") == ["a", "b"]
 
 
 def test_design_of_nothing(spark):

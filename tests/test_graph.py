@@ -76,7 +76,7 @@ def test_acyclic_graph_loses_nothing(spark):
 
 def test_large_acyclic_graph_loses_nothing(spark):
     """Long ways outlast the peeling, and all costs are tied."""
-    costed = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", 0.0) for i in range(22) for j in (i + 1, i + 2)], "src string, dst string, cost double")
+    costed = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", 0.0) for i in range(9) for j in (i + 1, i + 2)], "src string, dst string, cost double")
     assert decycle.removed_edges(costed, task_links=5).count() == 0
 
 
