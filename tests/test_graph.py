@@ -1,11 +1,20 @@
 import random
 
 import pandas as pd
+import pytest
 from conftest import rows
 
 from merloom.operators import contract, decycle, graph, paths, tally
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """Tiny tables and many jobs: one task a stage."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def _edges(spark, pairs):
     return spark.createDataFrame(pairs, "src string, dst string")
 
