@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     for c in sub.choices.values():
         c.add_argument("--out", required=True, help="folder of the result; a sequence file's ending for design")
         c.add_argument("-E", type=int, default=9, help="mer length")
-        c.add_argument("-d", type=int, default=1, help="largest Hamming distance (micro)")
+        c.add_argument("-d", type=int, default=1, help="largest Hamming distance (micro, bootstrap)")
         c.add_argument("--weights", help="file of weights")
         c.add_argument("--first", type=int, default=0, help="antigens to read; 0 reads all")
         c.add_argument("--bad-in-total", action="store_true", help="count mers with the bad character in the total (micro)")
@@ -80,7 +80,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return coverage.site_curve(rows, antigens, a.E)
     if a.command == "counts":
         return coverage.antigen_mers(rows, antigens, a.E, weights)
-    return coverage.bootstrap(rows, antigens, a.E, seed=a.seed)
+    return coverage.offby_bootstrap(rows, antigens, a.E, a.d, seed=a.seed)
 
 
 def main(args: list[str] | None = None) -> None:

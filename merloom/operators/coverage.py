@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merloom.functions.mers import exploded, mer_set
@@ -41,12 +41,16 @@ def micro_curve(population: DataFrame, antigens: DataFrame, e: int) -> DataFrame
     return _curve(antigens, gains.where("k is not null").select("k", "covered"), "covered").select("k", "covered", F.coalesce(total, F.lit(0)).alias("total"), F.try_divide(F.col("covered"), total).alias("share"))
 
 
+def first_within(mers: DataFrame, first: DataFrame, e: int, d: int) -> DataFrame:
+    """mer, k0 to kd: for each of the mers the least k of a mer of first_antigen() within each distance; mers without any are left out."""
+    near = near_mers(mers, first, e, d).join(first, "mer").select(F.col("near_mer").alias("mer"), "dist", "k")
+    return near.groupBy("mer").agg(*(F.min(F.when(F.col("dist") <= x, F.col("k"))).alias(f"k{x}") for x in range(d + 1)))
+
+
 def offby_curve(population: DataFrame, antigens: DataFrame, e: int, d: int) -> DataFrame:
     """k, dist, covered: counts of population mers within dist (0 to d) of a mer of the first k antigens."""
-    tally, first = mer_tally(population, e), first_antigen(antigens, e)
-    near = near_mers(tally, first, e, d).join(first, "mer").select(F.col("near_mer").alias("mer"), "dist", "k")
-    # within x of the first k antigens: the least k over distances up to x
-    best = near.groupBy("mer").agg(*(F.min(F.when(F.col("dist") <= x, F.col("k"))).alias(f"k{x}") for x in range(d + 1)))
+    tally = mer_tally(population, e)
+    best = first_within(tally, first_antigen(antigens, e), e, d)
     each = best.join(tally, "mer").select("cnt", F.posexplode(F.array(*(f"k{x}" for x in range(d + 1)))).alias("dist", "k")).where("k is not null")
     gains = each.groupBy("dist", "k").agg(F.sum("cnt").alias("covered"))
     grid = antigen_numbers(antigens).select("k", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("dist")).join(gains, ["k", "dist"], "left")
@@ -112,29 +116,46 @@ def rarest(population: DataFrame, antigens: DataFrame, e: int) -> DataFrame:
     return counts.groupBy("cnt").agg(F.count("*").alias("mers")).orderBy("cnt").limit(1).select(F.col("cnt").alias("least"), "mers")
 
 
+def _poisson(u: Column) -> Column:
+    """The Poisson(1) number that a number between 0 and 1 stands for."""
+    cdf, p, total = [], 0.36787944117144233, 0.0
+    for k in range(12):
+        total += p
+        cdf.append(total)
+        p /= k + 1
+    return sum((u > F.lit(c)).cast("int") for c in cdf)
+
+
 def bootstrap(population: DataFrame, antigens: DataFrame, e: int, resamples: int = 20, seed: int = 1) -> DataFrame:
     """k, mean, deviation: mean and population deviation of the covered share over resamples with replacement.
 
     Each sequence is drawn a Poisson(1) number of times in each resample, which needs no table of draws and no numbering;
     for many sequences this is the draw of as many as there are. A resample without a mer has no share and does not count.
     """
-    first = first_antigen(antigens, e)
-    rows = exploded(population, "seq", e, ["ord"]).join(first, "mer", "left").groupBy("ord", "k").agg(F.count("*").alias("n"))
+    return _resampled(population, antigens, e, first_antigen(antigens, e).withColumnRenamed("k", "k0"), 0, resamples, seed).drop("dist")
+
+
+def offby_bootstrap(population: DataFrame, antigens: DataFrame, e: int, d: int, resamples: int = 20, seed: int = 1) -> DataFrame:
+    """k, dist, mean, deviation: bootstrap() of what is covered within each distance from 0 to d, by the same draws."""
+    best = first_within(mer_tally(population, e), first_antigen(antigens, e), e, d)
+    return _resampled(population, antigens, e, best, d, resamples, seed)
+
+
+def _resampled(population: DataFrame, antigens: DataFrame, e: int, best: DataFrame, d: int, resamples: int, seed: int) -> DataFrame:
+    firsts = [f"k{x}" for x in range(d + 1)]
+    rows = exploded(population, "seq", e, ["ord"]).join(best, "mer", "left").groupBy("ord", *firsts).agg(F.count("*").alias("n"))
     drawn_by = F.md5(F.concat_ws(":", F.lit(seed), "b", "ord"))
     u = (F.conv(F.substring(drawn_by, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
-    cdf, p, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        total += p
-        cdf.append(total)
-        p /= k + 1
-    times = sum((u > F.lit(c)).cast("int") for c in cdf)
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("n", F.col("n") * times)
-    sums = drawn.groupBy("b", "k").agg(F.sum("n").alias("n"))
-    whole = sums.groupBy("b").agg(F.sum("n").alias("total"))
-    grid = antigen_numbers(antigens).select("k", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).join(sums.where("k is not null"), ["k", "b"], "left")
-    order = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    curve = grid.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(order)).join(whole, "b")
-    return curve.groupBy("k").agg(F.avg(F.try_divide("n", "total")).alias("mean"), F.stddev_pop(F.try_divide("n", "total")).alias("deviation"))
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("n", F.col("n") * _poisson(u)).where("n > 0")
+    sums = drawn.groupBy("b", *firsts).agg(F.sum("n").alias("n"))
+    sums = sums.select("b", "n", F.posexplode(F.array(*firsts)).alias("dist", "k")).groupBy("b", "dist", "k").agg(F.sum("n").alias("n"))
+    whole = sums.groupBy("b", "dist").agg(F.sum("n").alias("total"))
+    each = [F.explode(F.sequence(F.lit(a), F.lit(b))).alias(name) for name, a, b in (("b", 1, resamples), ("dist", 0, d))]
+    grid = antigen_numbers(antigens).select("k", each[0]).select("k", "b", each[1]).join(sums.where("k is not null"), ["k", "b", "dist"], "left")
+    order = Window.partitionBy("b", "dist").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    curve = grid.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(order)).join(whole, ["b", "dist"])
+    share = F.try_divide("n", "total")
+    return curve.groupBy("k", "dist").agg(F.avg(share).alias("mean"), F.stddev_pop(share).alias("deviation"))
 
 
 def trial_stats(scores: DataFrame) -> DataFrame:

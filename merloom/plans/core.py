@@ -150,6 +150,11 @@ def bootstrap_coverage(spark: SparkSession, d: str) -> DataFrame:
     return curve.select("k", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
+def bootstrap_offby(spark: SparkSession, d: str) -> DataFrame:
+    curve = coverage.offby_bootstrap(_population(spark, d), _antigens(spark, d), E, 1)
+    return curve.select("k", "dist", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
 def positional_tally(spark: SparkSession, d: str) -> DataFrame:
     return tally.place_tally(_gapped(spark, d), E)
 
@@ -439,6 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "offby_coverage": offby_coverage,
     "near_mers": near_mers,
     "bootstrap_coverage": bootstrap_coverage,
+    "bootstrap_offby": bootstrap_offby,
     "positional_tally": positional_tally,
     "ref_site_tally": ref_site_tally,
     "mer_positions": mer_positions,
@@ -571,14 +577,15 @@ b1 AS (SELECT mer, b, substring(mer, b * 3 + 1, 3) AS s FROM tally, (VALUES (0),
 near AS (SELECT DISTINCT b2.mer AS mer, b1.mer AS near_mer, hamming(b1.mer, b2.mer) AS dist FROM b1 JOIN b2 USING (b, s) WHERE hamming(b1.mer, b2.mer) <= 2)"""
 
 
-_BOOTSTRAP = f"""WITH {_POP}, {_sets('pop', 9, 'ord')}, {_FIRST}, h AS (SELECT ord, k, count(*) AS n FROM m LEFT JOIN first USING (mer) GROUP BY ord, k),
-b AS (SELECT unnest(range(1, 21)) AS b), o AS (SELECT DISTINCT ord FROM h),
+# the draws of coverage.bootstrap(), and what they make of h (ord, dist, k, n)
+_RESAMPLED = """b AS (SELECT unnest(range(1, 21)) AS b), o AS (SELECT DISTINCT ord FROM h),
 u AS (SELECT ord, b, (CAST('0x' || left(md5('1:' || b || ':' || ord), 10) AS BIGINT) + 0.5) / 1099511627776.0 AS u FROM o, b),
 p AS (SELECT list(exp(-1) / f) AS p FROM (SELECT unnest([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800]) AS f)),
 t AS (SELECT ord, b, len(list_filter(range(1, 13), lambda i: u > list_sum(p[1:i]))) AS times FROM u, p WHERE u > 0.3678),
-s AS (SELECT b, k, sum(n * times) AS n FROM h JOIN t USING (ord) GROUP BY b, k), w AS (SELECT b, sum(n) AS total FROM s GROUP BY b),
-c AS (SELECT a.k, w.b, coalesce((SELECT sum(n) FROM s WHERE s.b = w.b AND s.k <= a.k), 0) / total AS share FROM ant a, w)
-SELECT CAST(k AS INT) AS k, round(avg(share), 6) AS mean, round(stddev_pop(share), 6) AS deviation FROM c GROUP BY k"""
+s AS (SELECT b, dist, k, sum(n * times) AS n FROM h JOIN t USING (ord) GROUP BY b, dist, k), w AS (SELECT b, dist, sum(n) AS total FROM s GROUP BY b, dist),
+c AS (SELECT a.k, w.b, w.dist, coalesce((SELECT sum(n) FROM s WHERE s.b = w.b AND s.dist = w.dist AND s.k <= a.k), 0) / total AS share FROM ant a, w),
+r AS (SELECT CAST(k AS INT) AS k, CAST(dist AS INT) AS dist, round(avg(share), 6) AS mean, round(stddev_pop(share), 6) AS deviation FROM c GROUP BY k, dist)"""
+_BOOTSTRAP = f"WITH {_POP}, {_sets('pop', 9, 'ord')}, {_FIRST}, h AS (SELECT ord, 0 AS dist, k, count(*) AS n FROM m LEFT JOIN first USING (mer) GROUP BY ord, k), {_RESAMPLED} SELECT k, mean, deviation FROM r"
 
 
 SQL: dict[str, str] = {
@@ -638,6 +645,7 @@ SQL: dict[str, str] = {
     "pool_quarter": f"WITH {_TALLY}, {_LONG}, s AS (SELECT kmer, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS score FROM mem LEFT JOIN tally USING (mer) GROUP BY kmer) SELECT kmer, score FROM s QUALIFY row_number() OVER (ORDER BY score DESC, kmer) <= (SELECT count(*) FROM s) // 4",
     "random_draws": f"WITH {_POP}, n AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS n FROM pop), c AS (SELECT count(*) AS c FROM pop), d AS (SELECT unnest(range(0, c)) AS draw, c FROM c) SELECT draw, ord FROM d JOIN n ON n.n = CAST('0x' || left(md5('7:' || draw), 15) AS BIGINT) % c",
     "bootstrap_coverage": _BOOTSTRAP,
+    "bootstrap_offby": _NEAR + ", v AS (SELECT unnest([0, 1]) AS dist), best AS (SELECT n.near_mer AS mer, v.dist, min(f.k) AS k FROM near n JOIN first f USING (mer) JOIN v ON n.dist <= v.dist GROUP BY 1, 2), h AS (SELECT m.ord, v.dist, best.k, count(*) AS n FROM m CROSS JOIN v LEFT JOIN best ON best.mer = m.mer AND best.dist = v.dist GROUP BY 1, 2, 3), " + _RESAMPLED + " SELECT * FROM r",
     "refined_kmers": f"WITH g AS ({_GREEDY}) SELECT count(*) AS picks, true AS adds_up, true AS no_less, CAST(sum(score) AS BIGINT) AS greedy_score FROM g",
     "offby_shares": _NEAR + ", best AS (SELECT n.near_mer AS mer, d.dist, min(f.k) AS k FROM near n JOIN first f USING (mer) JOIN (VALUES (0), (1)) d(dist) ON n.dist <= d.dist GROUP BY 1, 2), g AS (SELECT b.dist, b.k, sum(cnt) AS cnt FROM best b JOIN tally USING (mer) GROUP BY 1, 2), c AS (SELECT CAST(a.k AS INT) AS k, d.dist, CAST((SELECT coalesce(sum(cnt), 0) FROM g WHERE g.dist = d.dist AND g.k <= a.k) AS BIGINT) AS covered, CAST((SELECT sum(cnt) FROM tally) AS BIGINT) AS total FROM ant a, (VALUES (0), (1)) d(dist)) SELECT *, round(covered / total, 9) AS share FROM c",
     "union_score": f"WITH {_TALLY}, a AS (SELECT regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS seq FROM antigens WHERE seq IS NOT NULL), t AS (SELECT DISTINCT unnest(list_transform(range(0, greatest(CAST(ceil(1 + (length(seq) - 15) / 7.0) AS BIGINT), 0)), lambda i: substring(seq, i * 7 + 1, 15))) AS kmer FROM a), u AS (SELECT DISTINCT unnest({_windows('kmer', 9)}) AS mer FROM t) SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS score FROM u JOIN tally USING (mer)",

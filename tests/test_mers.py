@@ -157,6 +157,14 @@ def test_greedy_gain_is_recomputed_score(spark):
     assert top[0]["kmer"] == "ZBCDE" and top[0]["score"] == 5 and len(top) == 3
 
 
+def test_bootstrap_within_a_distance(spark):
+    """One sequence has the same share in each resample that draws it; distance 0 is the exact bootstrap."""
+    pop, ant = _seqs(spark, "ABCDE"), _seqs(spark, "ABX", "QBCD")
+    got = rows(coverage.offby_bootstrap(pop, ant, 3, 1))
+    assert [(k, dist, round(mean, 6), spread) for k, dist, mean, spread in got] == [(1, 0, 0.0, 0.0), (1, 1, 0.333333, 0.0), (2, 0, 0.333333, 0.0), (2, 1, 0.666667, 0.0)]
+    assert [(k, mean) for k, dist, mean, _ in got if not dist] == [(k, mean) for k, mean, _ in rows(coverage.bootstrap(pop, ant, 3))]
+
+
 def test_curves_of_an_empty_population(spark):
     pop, ant = _seqs(spark, "", None), _seqs(spark, "ABC", "CDE")
     assert rows(coverage.micro_curve(pop, ant, 3)) == [(1, 0, 0, None), (2, 0, 0, None)]
@@ -164,4 +172,5 @@ def test_curves_of_an_empty_population(spark):
     assert {r["cnt"] for r in coverage.antigen_mers(pop, ant, 3).collect()} == {0.0}
     assert coverage.site_curve(pop, ant, 3).count() == 0
     assert rows(coverage.bootstrap(pop, ant, 3)) == []
+    assert rows(coverage.offby_bootstrap(pop, ant, 3, 1)) == []
     assert coverage.micro_curve(pop, ant.limit(0), 3).count() == 0
