@@ -146,7 +146,7 @@ def _resampled(population: DataFrame, antigens: DataFrame, e: int, best: DataFra
     rows = exploded(population, "seq", e, ["ord"]).join(best, "mer", "left").groupBy("ord", *firsts).agg(F.count("*").alias("n"))
     drawn_by = F.md5(F.concat_ws(":", F.lit(seed), "b", "ord"))
     u = (F.conv(F.substring(drawn_by, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("n", F.col("n") * _poisson(u)).where("n > 0")
+    drawn = once(rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u), "u").withColumn("n", F.col("n") * _poisson(F.col("u")))
     sums = drawn.groupBy("b", *firsts).agg(F.sum("n").alias("n"))
     sums = sums.select("b", "n", F.posexplode(F.array(*firsts)).alias("dist", "k")).groupBy("b", "dist", "k").agg(F.sum("n").alias("n"))
     whole = sums.groupBy("b", "dist").agg(F.sum("n").alias("total"))
