@@ -73,3 +73,8 @@ def test_hashed_names_cut_enough(spark):
     found = compact.runs(texts, 15)
     assert rows(compact.nodes(found)) == rows(tally.mer_tally(texts, 15))
     assert np.all(np.diff(compact.branches(texts, 15)) > 0)
+
+
+def test_forward_edges(spark, folder, tables):
+    got, jobs = _jobs(spark, "forward_edges", folder)
+    assert got == rows(graph.forward(*tables[1:])) and jobs < 20
