@@ -78,3 +78,9 @@ def test_hashed_names_cut_enough(spark):
 def test_forward_edges(spark, folder, tables):
     got, jobs = _jobs(spark, "forward_edges", folder)
     assert got == rows(graph.forward(*tables[1:])) and jobs < 20
+
+
+def test_node_values(spark, folder, tables):
+    got, jobs = _jobs(spark, "best_node_values", folder)
+    want = paths.best_values(tables[0], graph.forward(*tables[1:])).selectExpr("mer", "cast(value as bigint)")
+    assert got == rows(want) and jobs < 15
