@@ -84,3 +84,12 @@ def test_node_values(spark, folder, tables):
     got, jobs = _jobs(spark, "best_node_values", folder)
     want = paths.best_values(tables[0], graph.forward(*tables[1:])).selectExpr("mer", "cast(value as bigint)")
     assert got == rows(want) and jobs < 15
+
+
+def test_complementary_ways(spark, folder, tables):
+    """The ways are those found over tables, ties and all."""
+    got, jobs = _jobs(spark, "complementary_paths", folder)
+    forward = graph.forward(*tables[1:])
+    ways = paths.complementary_paths(tables[0], forward, 2)
+    assert got == rows(paths.way_facts(ways, tables[0], forward)) and len(got) == 2 and jobs < 30
+    assert rows(compact.complementary_texts(core.graph_runs(spark, folder), 2)) == rows(paths.paths_to_text(ways))
