@@ -93,3 +93,9 @@ def test_complementary_ways(spark, folder, tables):
     ways = paths.complementary_paths(tables[0], forward, 2)
     assert got == rows(paths.way_facts(ways, tables[0], forward)) and len(got) == 2 and jobs < 30
     assert rows(compact.complementary_texts(core.graph_runs(spark, folder), 2)) == rows(paths.paths_to_text(ways))
+
+
+def test_bandwidth(spark, folder, tables):
+    got, jobs = _jobs(spark, "path_bandwidth", folder)
+    want = paths.best_values(tables[0], graph.forward(*tables[1:]), True).where(f"mer = '{graph.END}'")
+    assert got == [(int(want.first()["value"]),)] and jobs < 15
