@@ -99,3 +99,8 @@ def test_bandwidth(spark, folder, tables):
     got, jobs = _jobs(spark, "path_bandwidth", folder)
     want = paths.best_values(tables[0], graph.forward(*tables[1:]), True).where(f"mer = '{graph.END}'")
     assert got == [(int(want.first()["value"]),)] and jobs < 15
+
+
+def test_best_score(spark, folder, tables):
+    got, jobs = _jobs(spark, "best_path_score", folder)
+    assert got == [(int(paths.best_path(tables[0], graph.forward(*tables[1:]))[0]),)] and jobs < 15
