@@ -104,3 +104,8 @@ def test_bandwidth(spark, folder, tables):
 def test_best_score(spark, folder, tables):
     got, jobs = _jobs(spark, "best_path_score", folder)
     assert got == [(int(paths.best_path(tables[0], graph.forward(*tables[1:]))[0]),)] and jobs < 15
+
+
+def test_edge_costs(spark, folder, tables):
+    got, jobs = _jobs(spark, "edge_costs", folder)
+    assert got == rows(graph.edge_costs(*tables)) and jobs < 25
