@@ -109,3 +109,10 @@ def test_best_score(spark, folder, tables):
 def test_edge_costs(spark, folder, tables):
     got, jobs = _jobs(spark, "edge_costs", folder)
     assert got == rows(graph.edge_costs(*tables)) and jobs < 25
+
+
+def test_trimmed(spark, folder, tables):
+    got, jobs = _jobs(spark, "trim_dead", folder)
+    gone = tables[0].where("mer like '%WW%' or mer like '%MC%'").select("mer")
+    want = graph.without_dead_begins(graph.without_dead_ends(graph.without(graph.forward(*tables[1:]), gone)))
+    assert not gone.isEmpty() and got == rows(want) and jobs < 20
