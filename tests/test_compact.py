@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from merloom.operators import compact, graph, paths, tally
+from merloom.operators import compact, graph, greedy, paths, tally
 from merloom.plans import core
 
 
@@ -116,3 +116,9 @@ def test_trimmed(spark, folder, tables):
     gone = tables[0].where("mer like '%WW%' or mer like '%MC%'").select("mer")
     want = graph.without_dead_begins(graph.without_dead_ends(graph.without(graph.forward(*tables[1:]), gone)))
     assert not gone.isEmpty() and got == rows(want) and jobs < 20
+
+
+def test_kmer_scores(spark, folder):
+    population = core._population(spark, folder)
+    want = greedy.scores(greedy.long_mers(population, core.K), tally.mer_tally(population, 9), 9)
+    assert rows(core.kmer_scores(spark, folder)) == rows(want) and "Join" not in core.kmer_scores(spark, folder)._jdf.queryExecution().toString()
