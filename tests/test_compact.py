@@ -122,3 +122,11 @@ def test_kmer_scores(spark, folder):
     population = core._population(spark, folder)
     want = greedy.scores(greedy.long_mers(population, core.K), tally.mer_tally(population, 9), 9)
     assert rows(core.kmer_scores(spark, folder)) == rows(want) and "Join" not in core.kmer_scores(spark, folder)._jdf.queryExecution().toString()
+
+
+def test_greedy_kmers(spark, folder):
+    members = greedy.member_counts(core._population(spark, folder), core.K, 9)
+    held = core.kmer_pool(spark, folder)
+    some = members.agg({"kmer": "max"}).first()[0]
+    assert [tuple(r) for r in core.greedy_kmers(spark, folder).orderBy("pick").collect()] == [(i + 1, *p) for i, p in enumerate(greedy.greedy(members, 3))]
+    assert greedy.greedy(held, 3, [some]) == greedy.greedy(members, 3, [some])
