@@ -130,3 +130,9 @@ def test_greedy_kmers(spark, folder):
     some = members.agg({"kmer": "max"}).first()[0]
     assert [tuple(r) for r in core.greedy_kmers(spark, folder).orderBy("pick").collect()] == [(i + 1, *p) for i, p in enumerate(greedy.greedy(members, 3))]
     assert greedy.greedy(held, 3, [some]) == greedy.greedy(members, 3, [some])
+
+
+def test_refined_kmers(spark, folder):
+    members = greedy.member_counts(core._population(spark, folder), core.K, 9)
+    assert greedy.refined(core.kmer_pool(spark, folder), 3, 1) == greedy.refined(members, 3, 1)
+    assert [tuple(r)[:3] for r in core.refined_kmers(spark, folder).collect()] == [(3, True, True)]
