@@ -136,3 +136,11 @@ def test_refined_kmers(spark, folder):
     members = greedy.member_counts(core._population(spark, folder), core.K, 9)
     assert greedy.refined(core.kmer_pool(spark, folder), 3, 1) == greedy.refined(members, 3, 1)
     assert [tuple(r)[:3] for r in core.refined_kmers(spark, folder).collect()] == [(3, True, True)]
+
+
+def test_quarter_is_chosen_without_an_order_of_all(spark, folder):
+    """The cut falls among tied scores."""
+    got = rows(core.pool_quarter(spark, folder))
+    scored = core.kmer_scores(spark, folder)
+    assert got == rows(greedy.best_quarter(scored)) and scored.where(f"score = {min(s for _, s in got)}").count() > sum(s == min(s for _, s in got) for _, s in got)
+    assert "TakeOrderedAndProject(limit=" + str(len(got)) not in core.pool_quarter(spark, folder)._jdf.queryExecution().toString()
