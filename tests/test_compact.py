@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from merloom.operators import compact, graph, greedy, paths, tally
+from merloom.operators import acyclic, compact, decycle, graph, greedy, paths, tally
 from merloom.plans import core
 
 
@@ -144,3 +144,30 @@ def test_quarter_is_chosen_without_an_order_of_all(spark, folder):
     scored = core.kmer_scores(spark, folder)
     assert got == rows(greedy.best_quarter(scored)) and scored.where(f"score = {min(s for _, s in got)}").count() > sum(s == min(s for _, s in got) for _, s in got)
     assert "TakeOrderedAndProject(limit=" + str(len(got)) not in core.pool_quarter(spark, folder)._jdf.queryExecution().toString()
+
+
+def test_cycles_go_over_runs(spark, folder, tables, monkeypatch):
+    """Only edges on cycles go, each at its cost, and none closes a cycle with those left; with and without the search by cycles. A mer of one letter is a way round an edge at its branch."""
+    nodes, edges, placed = tables
+    costs = {(a, b): c for a, b, c in rows(graph.edge_costs(nodes, edges, placed, ["rss"]))}
+    on_cycle = set(rows(decycle.cyclic_edges(edges)))
+    found = core.graph_runs(spark, folder)
+    for links in (4_000, 0):
+        monkeypatch.setattr(acyclic, "TASK_LINKS", links)
+        gone = {(a, b): c for a, b, c in rows(acyclic.edges_named(found, acyclic.removed_keys(found)))}
+        assert gone and gone.keys() <= on_cycle and all(costs[k] == c for k, c in gone.items())
+        after = {}
+        for a, b in costs.keys() - gone.keys():
+            after.setdefault(a, set()).add(b)
+            after.setdefault(b, set())
+        assert not decycle.strong_parts(after)
+    got, jobs = _jobs(spark, "decycle_removed", folder)
+    assert got == [(len(costs), 0, True)] and jobs < 40
+
+
+def test_edges_on_cycles_are_counted(spark, folder, tables):
+    """With nothing removed, those that the search over tables finds."""
+    found = core.graph_runs(spark, folder)
+    columns = acyclic._letters(found).toArrow()
+    net = acyclic._net(iter(columns.to_batches()), found.branches)
+    assert acyclic.on_cycles(net, np.empty(0, np.int64)) == decycle.cyclic_edges(tables[1]).count() and net.edges == tables[1].count()
