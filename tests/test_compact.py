@@ -6,6 +6,8 @@ from conftest import rows
 
 from merloom.operators import acyclic, compact, decycle, graph, greedy, paths, tally
 from merloom.plans import core
+from merloom.plans.design import Design, design
+from merloom.plans.design_runs import design_table
 
 
 @pytest.fixture(autouse=True)
@@ -171,3 +173,22 @@ def test_edges_on_cycles_are_counted(spark, folder, tables):
     columns = acyclic._letters(found).toArrow()
     net = acyclic._net(iter(columns.to_batches()), found.branches)
     assert acyclic.on_cycles(net, np.empty(0, np.int64)) == decycle.cyclic_edges(tables[1]).count() and net.edges == tables[1].count()
+
+
+def test_design_over_runs(spark, folder, tables):
+    """Without cycles the design over tables; with them ways whose steps are edges, and the share of what they cover."""
+    got, jobs = _jobs(spark, "design_antigens", folder)
+    assert got and jobs < 50
+    p = Design(e=9, m=2, low_nodes=2)
+    found = core.graph_runs(spark, folder)
+    assert rows(design_table(found, p)) == rows(design(core._population(spark, folder), p))
+    counts, edges = dict(rows(tables[0])), set(rows(tables[1]))
+    for trials in (1, 5):
+        made = design_table(found, Design(e=9, m=3, trials=trials, extra=1)).orderBy("path_id").collect()
+        ways = [[r["seq"][k : k + 9] for k in range(len(r["seq"]) - 8)] for r in made]
+        assert len(made) == 3 and all(s in edges for w in ways for s in zip([graph.BEGIN, *w], [*w, graph.END], strict=True))
+        assert made[0]["share"] == sum(counts[x] for x in {x for w in ways for x in w}) / sum(counts.values())
+    with pytest.raises(ValueError, match="END can't"):
+        design_table(found, Design(e=9, low_nodes=99))
+    with pytest.raises(ValueError, match="holds no mer"):
+        design_table(compact.runs(spark.createDataFrame([("ABC",)], "seq string"), 9), p)
