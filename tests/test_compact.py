@@ -192,3 +192,20 @@ def test_design_over_runs(spark, folder, tables):
         design_table(found, Design(e=9, low_nodes=99))
     with pytest.raises(ValueError, match="holds no mer"):
         design_table(compact.runs(spark.createDataFrame([("ABC",)], "seq string"), 9), p)
+
+
+def test_parts_are_those_of_the_search(monkeypatch):
+    """Many small parts beside a large one, found from single branches and all at once; small ones take few searches."""
+    rng = np.random.default_rng(8)
+    head, tail = (np.r_[rng.integers(0, 60, 150), 60 + 3 * np.arange(200) + a].astype(np.int32) for a in (0, 1))
+    head, tail = np.r_[head, tail[150:]], np.r_[tail, head[150:]]
+    one = np.ones(len(head), np.int32)
+    net = acyclic.Net(head, tail, 2 * one, one, one > 1, one > 1, one, one, 700)
+    searches, real = [], acyclic._reached
+    monkeypatch.setattr(acyclic, "_reached", lambda *x: searches.append(1) or real(*x))
+    found = []
+    for few in (100, 1_000):
+        monkeypatch.setattr(acyclic, "FEW_RUNS", few)
+        runs, part = acyclic.cyclic(net)
+        found.append((runs.tolist(), {tuple(runs[part == p]) for p in set(part.tolist())}))
+    assert found[0] == found[1] and len(found[0][1]) >= 200 and 2 <= len(searches) <= 6
