@@ -140,6 +140,27 @@ def test_refined_kmers(spark, folder):
     assert [tuple(r)[:3] for r in core.refined_kmers(spark, folder).collect()] == [(3, True, True)]
 
 
+def test_refined_kmers_take_few_passes(spark, folder):
+    """The picks of the tables, whether all mers are held or so few that the texts are passed again."""
+    members = greedy.member_counts(core._population(spark, folder), core.K, 9)
+    texts, found = core._population(spark, folder).select("seq"), core.graph_runs(spark, folder)
+    few, all_ = (compact.Heads(texts, core.K, found, most, draws=2) for most in (2, 1_024))
+    for n, given in ((3, []), (40, []), (3, [all_.top[-1][0]]), (3, ["MMMMMMMMMMMMMMM"])):
+        want = greedy.greedy(members, n, given)
+        assert greedy.greedy(all_, n, given) == want and (n > 3 or greedy.greedy(few, n, given) == want)
+    assert greedy.refined(all_, 5, 2) == greedy.refined(members, 5, 2) and greedy.restarted(few, 3, 7) == greedy.restarted(members, 3, 7)
+    assert [len(h.top) for h in (few, all_)] == [2, members.select("kmer").distinct().count()]
+    got, jobs = _jobs(spark, "refined_kmers", folder)
+    assert got == [(3, True, True, sum(s for _, s in greedy.greedy(members, 3)))] and jobs < 25
+
+
+def test_hashes_are_those_of_spark(spark):
+    texts = ["ABCDEFGHIJKLMNOPQRSTUVWXYZAABBC", "QWERTYUIOPASDFGHJKLZXCVBNMMNBVC"]
+    for k in (3, 9, 15, 31):
+        want = [r[0] for r in spark.createDataFrame([(t[:k],) for t in texts], "t string").selectExpr("xxhash64(7, t)").collect()]
+        assert [int(compact.hashed(np.array([ord(c) - 64 for c in t], np.uint8), 1, k, 7)[0]) for t in texts] == want
+
+
 def test_quarter_is_chosen_without_an_order_of_all(spark, folder):
     """The cut falls among tied scores."""
     got = rows(core.pool_quarter(spark, folder))
